@@ -42,21 +42,31 @@ def search_block(ids, vectors, bits, length, fit, query_ids, queries, mean, turn
     gain = (length / np.maximum(fit, 1e-12)).astype(np.float32)
     loose = (spread * length * np.sqrt(np.maximum(1 - fit * fit, 0)) / np.maximum(fit, 1e-12) / np.sqrt(max(d - 1, 1))).astype(np.float32)
     out: list[tuple] = []
+    n, most = len(ids), 1 << 16
+
+    def exact(r, c):
+        """Scores of pairs on the original vectors, a bounded number of pairs at a time."""
+        return np.concatenate([np.einsum("ij,ij->i", q[r[i : i + most]], vectors[c[i : i + most]]) for i in range(0, max(len(r), 1), most)])
+
     for at in range(0, len(queries), step):
         q, qid = queries[at : at + step], query_ids[at : at + step]
         own = qid[:, None] == ids[None]
         estimate = ((q @ turn).astype(np.float32) @ signs.T) * gain + (q @ mean).astype(np.float32)[:, None]
+        estimate[own] = -np.inf
         q_len = np.sqrt((q * q).sum(1)).astype(np.float32)
-        error = q_len[:, None] * (loose[None] + np.float32(1e-5) * (length.max(initial=0) + np.abs(mean).sum()).astype(np.float32))
-        lower = np.where(own, -np.inf, estimate - error)
-        n = lower.shape[1]
-        kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
-        r, c = np.nonzero((estimate + error >= kth[:, None]) & ~own)
-        score = np.einsum("ij,ij->i", q[r], vectors[c])
+        upper = estimate + q_len[:, None] * (loose[None] + np.float32(1e-5) * (length.max(initial=0) + np.abs(mean).sum()).astype(np.float32))
+        m = min(n, 4 * k)
+        likely = np.argpartition(estimate, n - m, axis=1)[:, n - m :]
+        rows = np.repeat(np.arange(len(q)), m)
+        first = np.where(np.take_along_axis(own, likely, 1), -np.inf, exact(rows, likely.ravel()).reshape(len(q), m))
+        kth = np.partition(first, m - k, axis=1)[:, m - k] if m >= k else np.full(len(q), -np.inf)
+        reached = (upper >= kth[:, None].astype(np.float32)) & ~own
+        np.put_along_axis(reached, likely, ~np.take_along_axis(own, likely, 1), 1)
+        r, c = np.nonzero(reached)
+        score = exact(r, c)
         order = np.lexsort((ids[c], -score, r))
         r, c, score = r[order], c[order], score[order]
-        first = np.searchsorted(r, np.arange(len(q)))
-        kept = np.arange(len(r)) - first[r] < k
+        kept = np.arange(len(r)) - np.searchsorted(r, np.arange(len(q)))[r] < k
         out.append((qid[r[kept]], ids[c[kept]], score[kept]))
     return tuple(np.concatenate([o[j] for o in out]) for j in range(3)) if out else ([], [], [])
 
@@ -80,7 +90,7 @@ def build_index(vectors: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray]]:
     return rows.mapInArrow(run, "id long, vector array<double>, bits binary, length double, fit double"), means
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, spread: float = 3.0, most_candidates: int = 16_384, most_queries: int = 4_096) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, spread: float = 2.0, most_candidates: int = 16_384, most_queries: int = 4_096) -> DataFrame:
     """The k nearest found by inner product for each query: query_id, rank, vec_id, score (double, on the original vectors).
 
     Both tables: id long, vector array of numbers. A query never finds rows of its own id; ties go to the
