@@ -223,8 +223,8 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = 0.8, words: i
 
     docs: doc_id, text. class_id is the least doc_id of the class. Equal texts are one class; different texts
     are linked when the weighted Jaccard similarity of their shingles is at least `similarity`, and classes are
-    the connected components. kept is true for the document whose doc_id is class_id (for every one, if the id
-    repeats). A text of fewer words is one shingle; texts without a word are alike only if equal. A null text
+    the connected components. kept is true for the row whose doc_id is class_id: one text of each class (and as
+    often as that row is repeated). A text of fewer words is one shingle; texts without a word are alike only if equal. A null text
     belongs to no class but its own document's. A null doc_id never names a class that has other ids.
     An empty table gives no rows; other columns are not read. 64-bit hashes stand for texts.
     """
@@ -268,11 +268,12 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = 0.8, words: i
     degree = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
     ids = hashed.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("least"))
     ids = ids.join(grouped.select(F.col("node").alias("h"), "component"), "h", "left").join(degree, "h", "left").withColumn("component", F.coalesce("component", "h"))
-    named = ids.groupBy("component").agg(F.min("least").alias("class_id"))
-    classes = ids.join(named, "component").select("h", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = ids.groupBy("component").agg(F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull().alias("none"), "least", "h")).alias("first"))
+    classes = ids.join(named, "component").select("h", "class_id", F.col("first.h").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = hashed.select("doc_id", "h").join(classes, "h", "left")
-    named_out = out.select("doc_id", F.when(F.col("h").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "h")
-    return named_out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "class_id", "n_links", "kept", F.col("h").alias("text_hash"))
+    class_id = F.when(F.col("h").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    kept = F.col("h").isNull() | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("first")))
+    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), kept.alias("kept"), F.col("h").alias("text_hash"))
 
 
 def agreeing(k: int) -> F.Column:
