@@ -37,7 +37,7 @@ def folder_files(spark: SparkSession, path: str, pattern: str = "*.[ch]") -> Dat
     """All sources below a folder of any file system, read by the executors, one row a file."""
     read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
     name = F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?(?=/)", "")
-    return read.select(F.xxhash64(name).cast("int").alias("file_idx"), name.alias("path"), name.alias("abs_path"), F.col("value").alias("raw"))
+    return read.select(F.xxhash64(name).alias("file_idx"), name.alias("path"), name.alias("abs_path"), F.col("value").alias("raw"))
 
 
 def preprocessed(files: DataFrame, compiler: str = "clang") -> DataFrame:

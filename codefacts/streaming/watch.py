@@ -18,7 +18,7 @@ def watch(spark: SparkSession, folder: str, store: str, rules: DataFrame, suppre
     """A started query; every batch of new files becomes runs and facts under store/<table>/batch=N."""
     arriving = spark.readStream.format("text").schema("value string").option("wholetext", "true").option("pathGlobFilter", pattern).load(folder)
     name = F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?(?=/)", "")
-    files = arriving.select(F.xxhash64(name).cast("int").alias("file_idx"), name.alias("path"), name.alias("abs_path"), F.col("value").alias("raw"))
+    files = arriving.select(F.xxhash64(name).alias("file_idx"), name.alias("path"), name.alias("abs_path"), F.col("value").alias("raw"))
 
     def one(batch: DataFrame, number: int) -> None:
         a = analyze(batch.persist(), rules, suppressions, compiler=None)
