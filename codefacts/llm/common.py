@@ -116,3 +116,8 @@ def _once(batches) -> pa.Table:
 def blocks(n: int, most: int, spark: SparkSession, *, least: int = 512) -> int:
     """Into how many blocks n rows go: at most `most` rows each, more blocks while cores would idle and blocks stay over `least` rows."""
     return max(1, -(-n // most), min(n // least, 2 * spark.sparkContext.defaultParallelism))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows (df must be cheap to count: a checkpoint); else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df

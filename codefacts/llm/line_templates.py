@@ -14,37 +14,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, cut
+from .common import columns, cut, small
 
 FIELD = "<*>"
+#: Largest tables, in rows of a few numbers each, that are sent to every executor; larger ones are shuffled.
+MOST_BROADCAST = 500_000
 
 
 def parsed_lines(docs: DataFrame, depth: int) -> DataFrame:
-    """(doc_id, body, k, words, leaf, sig, n): each line with a word; body and sig are hashes of the text and of the masked line."""
+    """(doc_id, body, k, masked, leaf, sig, n): each line with a word; masked has its words, one blank apart, body and sig are hashes of the text and of masked."""
     line = docs.select("doc_id", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    masked = line.select("doc_id", "body", "k", F.expr("trim(BOTH ' \t\r' FROM regexp_replace(line, '[^ \t\r]*[0-9][^ \t\r]*', '<*>'))").alias("masked")).where("masked <> ''")
-    words = masked.select("doc_id", "body", "k", F.split("masked", "[ \t\r]+").alias("words"))
-    n = F.size("words")
-    return words.select("*", F.xxhash64(n, F.slice("words", 1, depth)).alias("leaf"), F.xxhash64("words").alias("sig"), n.alias("n"))
+    fields = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", "[^ \t\r]*[0-9][^ \t\r]*", FIELD)).otherwise(F.col("line"))
+    spaced = F.when(F.col("m").rlike("[\t\r]|  "), F.regexp_replace("m", "[ \t\r]+", " ")).otherwise(F.col("m"))
+    masked = line.select("doc_id", "body", "k", fields.alias("m")).select("doc_id", "body", "k", F.trim(spaced).alias("masked")).where("masked <> ''")
+    n = F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1
+    return masked.select("*", F.xxhash64(n, F.substring_index("masked", " ", depth)).alias("leaf"), F.xxhash64("masked").alias("sig"), n.alias("n"))
 
 
 def recurring(docs: DataFrame, lines: DataFrame, *, depth: int, min_docs: int, alike: float) -> DataFrame:
-    """(leaf, sig) of the masked lines whose template recurs."""
-    in_text = lines.groupBy("leaf", "sig", "body").agg(F.first("n").alias("n"))
-    sigs = in_text.groupBy("leaf", "sig").agg(F.count(F.lit(1)).alias("docs"), F.first("n").alias("n"))
-    exact = sigs.where(F.col("docs") >= min_docs).select("leaf", "sig")
-    leaves = sigs.where(F.col("n") > depth).groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("sigs")).where((F.col("docs") >= min_docs) & (F.col("sigs") > 1)).select("leaf")
+    """sig of the masked lines whose template recurs."""
+    in_text = lines.groupBy("sig", "body").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"))
+    sigs = cut(in_text.groupBy("sig").agg(F.count(F.lit(1)).alias("docs"), F.first("leaf").alias("leaf"), F.first("n").alias("n")))
+    exact = sigs.where(F.col("docs") >= min_docs).select("sig")
+    leaves = cut(sigs.where(F.col("n") > depth).groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("sigs")).where((F.col("docs") >= min_docs) & (F.col("sigs") > 1)).select("leaf"))
+    few = small(leaves, MOST_BROADCAST)
     # one line of words for each masked line of the leaves that may hold a general template
-    worded = parsed_lines(docs, depth).select("leaf", "sig", "words").join(leaves, "leaf", "left_semi").groupBy("leaf", "sig").agg(F.min("words").alias("words")).join(sigs.select("leaf", "sig", "docs"), ["leaf", "sig"])
-    placed = cut(worded.select("leaf", "sig", "docs", F.posexplode("words").alias("place", "word")))
+    worded = parsed_lines(docs, depth).select("leaf", "sig", "masked").join(few, "leaf", "left_semi").groupBy("leaf", "sig").agg(F.min("masked").alias("masked"))
+    weights = sigs.join(few, "leaf", "left_semi").select("sig", "docs")
+    placed = cut(worded.join(weights, "sig").select("leaf", "sig", "docs", F.posexplode(F.split("masked", " ")).alias("place", "word")))
     counted = placed.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("docs"))
     usual = counted.groupBy("leaf", "place").agg(F.max(F.struct("docs", "word")).alias("top")).select("leaf", "place", F.col("top.word").alias("usual"))
-    like = (
+    like = cut(
         placed.join(usual, ["leaf", "place"]).groupBy("leaf", "sig")
         .agg(F.avg((F.col("word") == F.col("usual")).cast("double")).alias("same")).where(F.col("same") >= alike).select("leaf", "sig")
     )
-    reach = in_text.join(like, ["leaf", "sig"], "left_semi").groupBy("leaf").agg(F.countDistinct("body").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
-    return exact.unionByName(like.join(reach, "leaf", "left_semi")).distinct()
+    hit = lines.select("sig", "body").join(small(like, MOST_BROADCAST), "sig")
+    reach = hit.groupBy("leaf").agg(F.countDistinct("body").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
+    return exact.unionByName(like.join(reach, "leaf", "left_semi").select("sig")).distinct()
 
 
 def drop_recurring_lines(docs: DataFrame, *, depth: int = 3, min_docs: int = 5, alike: float = 0.75, copy_share: float = 0.8) -> DataFrame:
@@ -57,13 +63,15 @@ def drop_recurring_lines(docs: DataFrame, *, depth: int = 3, min_docs: int = 5,
     """
     docs = docs.drop("n_lines_dropped")
     narrow = columns(docs, "doc_id", "text").where("text is not null")
-    lines = cut(parsed_lines(narrow, depth).drop("words"))
-    bad = recurring(narrow, lines, depth=depth, min_docs=min_docs, alike=alike).select("leaf", "sig", F.lit(True).alias("bad"))
-    marked = lines.join(bad, ["leaf", "sig"], "left")
+    lines = cut(parsed_lines(narrow, depth).drop("masked"))
+    bad = cut(recurring(narrow, lines, depth=depth, min_docs=min_docs, alike=alike))
+    marked = lines.join(small(bad.withColumn("bad", F.lit(True)), MOST_BROADCAST), "sig", "left")
     by_text = marked.groupBy("doc_id", "body").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("n_bad"), F.collect_set(F.when(F.col("bad"), F.col("k"))).alias("drop")
     )
-    act = by_text.where((F.size("drop") > 0) & (F.col("n_bad") <= copy_share * F.col("n"))).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), F.col("drop").alias("_drop"))
+    act = cut(by_text.where((F.size("drop") > 0) & (F.col("n_bad") <= copy_share * F.col("n"))).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), F.col("drop").alias("_drop")))
+    held = act.agg(F.coalesce(F.sum(F.size("_drop")), F.lit(0))).first()[0]
+    act = small(act, MOST_BROADCAST) if held <= 8 * MOST_BROADCAST else act
     joined = docs.join(act, docs["doc_id"].eqNullSafe(act["_id"]) & (F.xxhash64(docs["text"]) == act["_body"]), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains("_drop", k)), "\n")
     text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)
