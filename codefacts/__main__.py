@@ -1,4 +1,4 @@
-"""python -m codefacts FILE... or python -m codefacts build-contracts STORE ..."""
+"""python -m codefacts FILE..., build-contracts STORE ..., or search STORE QUERY."""
 
 import sys
 

@@ -45,6 +45,12 @@ def view_lines(views: DataFrame) -> DataFrame:
     return views.select("file_idx", F.to_json(F.struct("path", "raw", "min", "pp_user"), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def view_pages(views: DataFrame) -> DataFrame:
+    """(file_idx, page): all views of a file, one after the other, to be read by people."""
+    part = lambda c: F.concat(F.lit(f"=== {c} ===\n"), F.coalesce(F.col(c), F.lit("(none)")), F.lit("\n"))
+    return views.select("file_idx", F.concat(F.lit("##### "), F.col("path"), F.lit("\n"), *[part(c) for c in ("raw", "min", "pp_user")]).alias("page"))
+
+
 def exit_status(failed: bool, issues: int, *, warn_exit: bool, gcc: bool, sarif: bool, as_json: bool) -> int:
     """1 if anything failed, or if there are issues and the mode or an option asks for it."""
     return int(failed or issues > 0 and (warn_exit and not sarif or gcc and not as_json and not sarif or sarif))

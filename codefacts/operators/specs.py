@@ -111,6 +111,13 @@ def upsert(store: tuple[DataFrame, DataFrame, DataFrame], batch: tuple[DataFrame
     return out_functions, _numbered(replace_children(sections, put_sections, touched, "function_id"), ["function_id", "ord"]), _numbered(replace_children(aliases, put_aliases, touched, "function_id"), ["function_id", "alias_name"])
 
 
+def delete_pages(store: tuple[DataFrame, DataFrame, DataFrame], gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The store without the functions whose ids are in gone(id), and without their children."""
+    functions, sections, aliases = store
+    parents = gone.select(F.col("id").alias("function_id")).distinct()
+    return functions.join(gone.select("id").distinct(), "id", "left_anti"), sections.join(parents, "function_id", "left_anti").select(sections.columns), aliases.join(parents, "function_id", "left_anti").select(aliases.columns)
+
+
 def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     """An id for each child; unique, not dense, so that no task has to see all rows."""
     return rows.withColumn("id", F.xxhash64(*order)).select("id", *rows.columns)

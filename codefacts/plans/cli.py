@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import shutil
 import sys
 
 from pyspark.sql import SparkSession
@@ -13,12 +14,16 @@ from pyspark.sql import functions as F
 from codefacts.operators import report, rundb, specs
 from codefacts.operators.rules import contract_rules, rules
 from codefacts.plans.analyze import analyze, json_parts
+from codefacts.schemas import FINDINGS
 from codefacts.sources import pages, stores
 from codefacts.sources.code import listed_files
 from codefacts.sources.compdb import compile_database, with_compile_entry
 from codefacts.sources.suppressions import suppress_rules
 
 
+COMPILER = "clang"
+
+
 class _Parser(argparse.ArgumentParser):
     def error(self, message):
         self.print_usage(sys.stderr)
@@ -75,6 +80,8 @@ def run_analyzer(argv: list[str]) -> int:
         except Exception:
             return fail(f"cannot load {o.compdb}")
         files = with_compile_entry(files, database)
+        if shutil.which(COMPILER) is None and files.where("in_database").count():
+            return fail(f"no preprocessed text for files of {o.compdb}: {COMPILER} is not there")
     try:
         a = analyze(files, rules(spark, contracts), suppress_rules(spark, o.suppressions))
         if o.dump_views:
@@ -89,6 +96,15 @@ def run_analyzer(argv: list[str]) -> int:
 
 def emit(spark: SparkSession, a, o) -> int:
     findings = a.findings.persist()
+    if o.sarif:
+        try:
+            findings.count()
+        except Exception as e:  # nothing is printed; the runs tell of the failure
+            print(f"analysis failed: {e}", file=sys.stderr)
+            if not o.no_db:
+                failed = {r.path: 1 for r in a.files.select("path").collect()}
+                write_runs(spark, a.files, spark.createDataFrame([], FINDINGS), o.db, failed)
+            return 1
     if o.json:
         calls, diagnostics = json_parts(a)
         told = [json.loads(r.json) for r in report.json_files(a.files, calls, diagnostics).orderBy("file_idx").toLocalIterator()]
@@ -113,14 +129,16 @@ def emit(spark: SparkSession, a, o) -> int:
 
 
 def write_runs(spark: SparkSession, files, findings, store: str, counts: dict | None = None) -> None:
-    """Append a run for each file, and a fact for each finding except where the JSON report's counts are given."""
+    """Append a run for each file; and a fact, with its terms, for each finding unless counts are given instead."""
     last = stores.read_table(spark, store, "runs").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     runs = rundb.run_rows(files, findings, int(last) + 1).persist()
     if counts is not None:
         told = F.coalesce(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("filename")], F.lit(0)).cast("int") if counts else F.lit(0)
         runs = runs.withColumn("error_count", told)
     else:
-        stores.append(rundb.fact_rows(findings, runs), store, "facts")
+        facts = rundb.fact_rows(findings, runs).persist()
+        stores.append(facts, store, "facts")
+        stores.append(rundb.fact_terms(facts), store, "fact_terms")
     stores.append(runs.drop("file_idx"), store, "runs")
 
 
@@ -148,8 +166,26 @@ def build_store(spark: SparkSession, found, store: str) -> int:
     return 0
 
 
+def run_search(argv: list[str]) -> int:
+    """STORE QUERY: the facts of the latest runs that a full-text query fits."""
+    if len(argv) != 2:
+        print(run_search.__doc__, file=sys.stderr)
+        return 1
+    spark = session()
+    facts, runs, index = (stores.read_table(spark, argv[0], t) for t in ("facts", "runs", "fact_terms"))
+    try:
+        for r in rundb.find_similar(facts, runs, argv[1], index).collect():
+            print("|".join((r.filename, r.kind, r.symbol, r.details)))
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return 1
+    return 0
+
+
 def main() -> int:
     argv = sys.argv[1:]
+    if argv[:1] == ["search"]:
+        return run_search(argv[1:])
     if argv[:1] == ["build-contracts"]:
         return run_builder(argv[1:])
     return run_analyzer(argv)

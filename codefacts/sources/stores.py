@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from codefacts import schemas
 
 CONTRACTS = {"functions": schemas.FUNCTIONS, "function_sections": schemas.FUNCTION_SECTIONS, "function_aliases": schemas.FUNCTION_ALIASES}
-RUN_STORE = {"runs": schemas.RUNS, "facts": schemas.FACTS}
+RUN_STORE = {"runs": schemas.RUNS, "facts": schemas.FACTS, "fact_terms": schemas.FACT_TERMS}
 
 
 def _fs(spark: SparkSession, path: str):

@@ -245,6 +245,9 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.run_analyzer(["a.c", "missing.c", "--db", str(tmp_path / "db"), "--gcc"]) == 1
     assert "warning: ignored return" in capsys.readouterr().err
     assert sorted((r.id, r.error_count) for r in spark.read.parquet(str(tmp_path / "db/runs")).collect()) == [(1, 1), (2, 1)]
+    assert cli.run_search([str(tmp_path / "db"), "return NOT write"]) == 0
+    assert capsys.readouterr().out == 2 * "a.c|retval_unchecked|read|col 3: unchecked return value of read()\n"
+    assert cli.run_search([str(tmp_path / "db"), "( x"]) == 1
     assert cli.run_analyzer(["--json", "--sarif", "a.c"]) == 1 and cli.run_analyzer([]) == 1 and cli.run_analyzer(["--nothing"]) == 1 and cli.run_analyzer(["--help"]) == 0
     capsys.readouterr()
     (tmp_path / "rules").write_text("# rules\na.c return_value_check\nshort\n")
@@ -252,3 +255,34 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.run_analyzer(["a.c", "--no-db", "--sarif"]) == 1
     assert json.loads(capsys.readouterr().out)["version"] == "2.1.0"
     assert not os.path.exists("codefacts.db")
+    (tmp_path / "db.json").write_text(json.dumps([{"directory": ".", "file": "a.c", "command": "cc a.c"}]))
+    monkeypatch.setattr(cli, "COMPILER", "no-such-compiler")
+    assert cli.run_analyzer(["a.c", "--no-db", "--compdb", "db.json"]) == 1
+    assert cli.run_analyzer(["a.c", "--no-db", "--compdb", "nothing.json"]) == 1
+
+
+def test_failed_sarif_run_prints_nothing(spark, tmp_path, capsys, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from codefacts.plans import cli
+
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "a.c").write_text(BODY.format("  read(fd, b, n);"))
+    a = run(spark, {"a.c": "int x;\n"})
+    a.findings = a.findings.unionByName(spark.range(1).select(*[F.lit(None).cast(t).alias(c) for c, t in a.findings.dtypes if c != "message"], F.raise_error(F.lit("injected")).cast("string").alias("message")))
+    options = cli.analyzer_options().parse_args(["a.c", "--sarif", "--db", str(tmp_path / "db")])
+    assert cli.emit(spark, a, options) == 1
+    assert capsys.readouterr().out == ""
+    assert [r.error_count for r in spark.read.parquet(str(tmp_path / "db/runs")).collect()] == [1]
+
+
+def test_contracts_add_findings(spark):
+    src = {"a.c": BODY.format("  mmap(0, n, 1, 2, fd, 0);\n  logf_(b);")}
+    contracts = spark.createDataFrame([("mmap", 1), ("logf_", 4)], "name string, flags int")
+    assert found(run(spark, src)) == []
+    assert [r[3:] for r in found(run(spark, src, contracts=contracts))] == [("retval_unchecked", "mmap"), ("format_string", "logf_")]
+
+
+def test_view_pages(spark):
+    page = report.view_pages(run(spark, {"a.c": "int x; // y\n"}).views).first().page
+    assert "=== min ===\nint x; " in page and "=== pp_user ===\n(none)" in page

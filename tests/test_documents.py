@@ -63,6 +63,8 @@ def test_store_upsert_contracts_lookup(spark, batch, tmp_path):
     assert found == {"grab": MUST_CHECK | DANGEROUS | FORMAT, "seize": MUST_CHECK | DANGEROUS | FORMAT, "new": MUST_CHECK}
     merged = {r.name: r.flags for r in rules(spark, spark.createDataFrame([("read", 2), ("mmap", 1)], "name string, flags int")).collect()}
     assert merged["read"] == 1 and merged["mmap"] == 1
+    left = specs.delete_pages((functions, sections, aliases), functions.where("name = 'grab'"))
+    assert [df.join(functions.where("name = 'grab'").selectExpr("id as function_id"), "function_id", "left_semi").count() for df in left[1:]] == [0, 0] and left[0].count() == 2
     asked = spark.createDataFrame([("seize",), ("old",)], "name string")
     assert {(r.name, r.answer) for r in contract_answer(contract_rules(functions, sections, aliases), asked, MUST_CHECK).collect()} == {("seize", True), ("old", False)}
     hit = specs.lookup(spark.createDataFrame([("seize", "2"), ("seize", "3")], "name string, section string"), functions, sections, aliases).collect()
