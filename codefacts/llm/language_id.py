@@ -33,7 +33,7 @@ SIZE = 4
 def features(text: str | None) -> np.ndarray:
     """Hashed n-grams of the lower-case letters, every other run taken as one blank, in order."""
     letters = NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
-    if not letters:
+    if not any(map(str.isalpha, letters)):  # number forms are no letters
         return np.empty(0, np.uint32)
     code = np.frombuffer(f"  {letters}  ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(code) - SIZE + 1

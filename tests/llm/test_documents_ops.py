@@ -120,7 +120,7 @@ def test_language_query(spark):
 
 
 def test_language_odd_texts(spark):
-    rows = [(1, "le chat est sur la table et le chien aussi", "fr"), (2, "the cat is on the table and the dog too", "en"), (3, None, "en"), (4, "", None), (5, "123 !!", "fr"), (6, "zqx", None), (7, "the dog " * 50_000, "en"), (1, "le chien", "fr")]
+    rows = [(1, "le chat est sur la table et le chien aussi", "fr"), (2, "the cat is on the table and the dog too", "en"), (3, None, "en"), (4, "", None), (5, "123 !! ½ ² Ⅷ", "fr"), (6, "zqx", None), (7, "the dog " * 50_000, "en"), (1, "le chien", "fr")]
     df = spark.createDataFrame([(*r, "clash", 0.5) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
     model = language_id.fit(df)
     assert model.languages == ["en", "fr"]
