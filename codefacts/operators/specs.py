@@ -87,11 +87,20 @@ def replace_children(existing: DataFrame, new: DataFrame, touched: DataFrame, ke
     return existing.join(touched.select(key).distinct(), key, "left_anti").select(new.columns).unionByName(new)
 
 
+def dense_numbers(rows: DataFrame, key: list[str], name: str, parts: int = 256) -> DataFrame:
+    """rows with the numbers 1, 2, ... in some fixed order of the distinct key, counted in parts, so that no task sees all rows."""
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*key), F.lit(parts)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*key))
+    return dealt.withColumn(name, own).join(F.broadcast(starts), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")  # at most `parts` rows
+
+
 def upsert(store: tuple[DataFrame, DataFrame, DataFrame], batch: tuple[DataFrame, DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The store (functions, function_sections, function_aliases) after a batch of parse_pages.
 
     A page that is there keeps its id, its other columns and its children are replaced; pages that the batch
-    does not list stay. New ids follow the largest one in the order of name and section.
+    does not list stay. New ids follow the largest one without gaps.
     """
     functions, sections, aliases = store
     new_functions, new_sections, new_aliases = batch
@@ -100,7 +109,7 @@ def upsert(store: tuple[DataFrame, DataFrame, DataFrame], batch: tuple[DataFrame
     ids = functions.select("id", *key)
     top = F.broadcast(functions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")))  # one row
     fresh = new_functions.select(*key).join(ids, key, "left_anti")
-    numbered = fresh.withColumn("n", F.row_number().over(Window.orderBy(*key))).crossJoin(top).select((F.col("n") + F.col("top")).alias("id"), *key)
+    numbered = dense_numbers(fresh, key, "n").crossJoin(top).select((F.col("n") + F.col("top")).alias("id"), *key)
     all_ids = ids.join(new_functions.select(*key), key, "left_semi").unionByName(numbered)
     put = new_functions.join(all_ids, key)
     touched = all_ids.select(F.col("id").alias("function_id"))
