@@ -49,6 +49,18 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores put before it as it takes to differ from every column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def matrix(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
     """An Arrow list column of equal lengths as a two-dimensional array."""
     if isinstance(column, pa.ChunkedArray):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, ship
+from .common import columns, fresh, ship
 
 FEATURES, ROWS = 1 << 22, 1 << 21
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -175,8 +175,10 @@ def identify(docs: DataFrame, model: Filters, *, undecided: str = "und") -> Data
                 got += filters.decide(texts[at : at + 500])
             yield pd.DataFrame(got, columns=["lang", "score", "coverage"])
 
-    found = docs.drop("lang_pred", "score", "coverage").withColumn("_found", decide("text"))
-    return found.select(*[F.col(f"`{c}`") for c in found.columns if c != "_found"], F.coalesce("_found.lang", F.lit(undecided)).alias("lang_pred"), F.col("_found.score").alias("score"), F.col("_found.coverage").alias("coverage"))
+    docs = docs.drop("lang_pred", "score", "coverage")
+    (name,) = fresh(docs, "_found")
+    found = docs.withColumn(name, decide("text"))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(f"{name}.lang", F.lit(undecided)).alias("lang_pred"), F.col(f"{name}.score").alias("score"), F.col(f"{name}.coverage").alias("coverage"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

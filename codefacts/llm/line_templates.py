@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, cut, small
+from .common import columns, cut, fresh, small
 
 FIELD = "<*>"
 #: Largest tables, in rows of a few numbers each, that are sent to every executor; larger ones are shuffled.
@@ -69,13 +69,14 @@ def drop_recurring_lines(docs: DataFrame, *, depth: int = 3, min_docs: int = 5,
     by_text = marked.groupBy("doc_id", "body").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("n_bad"), F.collect_set(F.when(F.col("bad"), F.col("k"))).alias("drop")
     )
-    act = cut(by_text.where((F.size("drop") > 0) & (F.col("n_bad") <= copy_share * F.col("n"))).select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), F.col("drop").alias("_drop")))
-    held = act.agg(F.coalesce(F.sum(F.size("_drop")), F.lit(0))).first()[0]
+    key, body, drop = fresh(docs, "_id", "_body", "_drop")
+    act = cut(by_text.where((F.size("drop") > 0) & (F.col("n_bad") <= copy_share * F.col("n"))).select(F.col("doc_id").alias(key), F.col("body").alias(body), F.col("drop").alias(drop)))
+    held = act.agg(F.coalesce(F.sum(F.size(drop)), F.lit(0))).first()[0]
     act = small(act, MOST_BROADCAST) if held <= 8 * MOST_BROADCAST else act
-    joined = docs.join(act, docs["doc_id"].eqNullSafe(act["_id"]) & (F.xxhash64(docs["text"]) == act["_body"]), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains("_drop", k)), "\n")
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size("_drop"), F.lit(0)).alias("n_lines_dropped"))
+    joined = docs.join(act, docs["doc_id"].eqNullSafe(act[key]) & (F.xxhash64(docs["text"]) == act[body]), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains(drop, k)), "\n")
+    text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(kept)
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size(drop), F.lit(0)).alias("n_lines_dropped"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

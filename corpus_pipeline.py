@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codefacts.llm.common import fresh
 from codefacts.llm.language_id import fit, held_out, identify
 from codefacts.llm.line_templates import drop_recurring_lines
 from codefacts.llm.near_dedup import near_duplicate_classes
@@ -17,26 +18,34 @@ from codefacts.llm.packing import pack_documents
 LEAST_COVERAGE = 0.1
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, list]:
+    """docs with numbered names for all columns but doc_id and text, and the columns that give the old names back."""
+    names = [c if c in ("doc_id", "text") else f"_{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language: those with null text, without letters or of unknown n-grams go."""
-    found = identify(docs, fit(docs.where(~held_out(F.col("doc_id")))))
-    known = (F.col("lang_pred") != "und") & (F.col("coverage") >= LEAST_COVERAGE)
-    return found.where(known).select(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered, named = plain(docs)
+    found = identify(numbered, fit(docs.where(~held_out(F.col("doc_id")))))
+    return found.where((F.col("lang_pred") != "und") & (F.col("coverage") >= LEAST_COVERAGE)).select(named)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the lines of recurring templates; n_chars follows the text."""
-    cleaned = drop_recurring_lines(docs)
-    n_chars = F.when(F.col("n_lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cleaned.select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    numbered, named = plain(docs)
+    at = docs.columns.index("n_chars")
+    n_chars = F.when(F.col("n_lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col(f"_{at}")).alias("n_chars")
+    return drop_recurring_lines(numbered).select(*named[:at], n_chars, *named[at + 1 :])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one of the least doc_id."""
-    kept = near_duplicate_classes(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    hashed = docs.withColumn("_h", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
-    stay = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept["_id"]) & hashed["_h"].eqNullSafe(kept["_hash"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "_h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, key, text = fresh(docs, "_h", "_id", "_hash")
+    kept = near_duplicate_classes(docs).where("kept").select(F.col("doc_id").alias(key), F.col("text_hash").alias(text)).distinct()
+    hashed = docs.withColumn(own, F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    stay = hashed.join(kept, hashed["doc_id"].eqNullSafe(kept[key]) & hashed[own].eqNullSafe(kept[text]), "left_semi")
+    return stay.dropDuplicates(["doc_id", own]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,3 +186,7 @@ def test_pipeline_takes_odd_and_empty_tables(spark):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, SF)
         assert docs.count() == left
+    wide = spark.createDataFrame([(*r, 1, 2, 3, 4, 5) for r in rows], schema + ", _h int, _id int, _drop int, _found int, coverage int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        wide = stage(spark, wide, SF)
+    assert [tuple(r) for r in wide.collect()] == [(1, "the cat sat on the mat", "en", "s", 22, 1, 2, 3, 4, 5)]
