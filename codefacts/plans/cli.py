@@ -46,7 +46,7 @@ def analyzer_options() -> argparse.ArgumentParser:
     p.add_argument("--warn-exit", action="store_true", help="findings make the status 1")
     p.add_argument("--db", default="codefacts.db", help="folder of the run store")
     p.add_argument("--no-db", action="store_true")
-    p.add_argument("--specdb", help="folder of the contract store")
+    p.add_argument("--contracts", help="folder of the contract store")
     p.add_argument("--compile-commands", "--compdb", dest="compdb", help="compile database")
     p.add_argument("--dump-views", help="file for all views, one JSON object a line")
     p.add_argument("--suppressions", help="file of suppression rules")
@@ -67,9 +67,9 @@ def run_analyzer(argv: list[str]) -> int:
         return fail(f"cannot read {o.suppressions}")
     spark = session()
     contracts = None
-    if o.specdb:
+    if o.contracts:
         try:
-            contracts = contract_rules(*(stores.read_table(spark, o.specdb, t) for t in ("functions", "function_sections", "function_aliases")))
+            contracts = contract_rules(*(stores.read_table(spark, o.contracts, t) for t in ("functions", "function_sections", "function_aliases")))
         except Exception as e:  # a store that can't be opened costs its rules, not the run
             print(f"warning: no contract store: {e}", file=sys.stderr)
     files = listed_files(spark, o.files)
