@@ -184,7 +184,7 @@ def test_attribution_query_and_odd_texts(spark, odd):
     assert rows[rows.doc_id == 0][["section", "n_tokens"]].values.tolist() == [[0, 0.0]]
     assert np.isclose(rows[rows.doc_id == 8].n_tokens.sum(), len(lib.encode(ODD[8]).ids))
     spans = spark.createDataFrame([(1, "hello world", [(0, 3), (8, 11)])], "doc_id long, text string, parts array<struct<start:int,end:int>>")
-    assert token_attribution.attribute_tokens(spans, sections="parts").orderBy("section").toPandas().n_tokens.tolist() == [0, 1, 1] or True
+    assert token_attribution.attribute_tokens(spans, sections="parts").orderBy("section").toPandas().n_tokens.tolist() == [1, 1]
     assert token_attribution.attribute_tokens(odd.limit(0)).count() == 0
     with pytest.raises(ValueError):
         token_attribution.attribute_tokens(odd, rule="none")
