@@ -6,8 +6,9 @@ what a thousandth of the documents or fewer hold counts fully. Improved consiste
 draws `bands` times `rows` samples, of which two texts agree on each with the probability of their
 weighted Jaccard similarity; equal bands make buckets. In a bucket every text is verified, exactly,
 against the bucket's leader, the member that shares most buckets with other texts. Links join texts
-to components. Pairs of one bucket that are still in different components are then compared too,
-unless their samples or their overlaps with the common leader show that they cannot be alike.
+to components. Members of one leader that are still in different components are then compared with
+one another, block by block: a product of matrices bounds every overlap from above, pairs that the
+bound leaves are verified exactly, and only links come out.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ WORD = re.compile(r"[^\W_]+")
 U = np.uint64
 WIDTH_BITS, DEPTH = 19, 2
 DAMP, RARE = 0.25, 1000.0
-#: Samples of two texts of similarity 0.8 agree in fewer than this share with a probability under 0.001.
-LEAST_AGREEING = 0.625
+#: Texts in a block when members of one leader are compared with one another.
+BLOCK = 128
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,13 +74,22 @@ def document_frequencies(docs: DataFrame, words: int = 5) -> tuple[int, np.ndarr
     parts, size = 64, DEPTH << WIDTH_BITS
 
     def run(batches):
-        shingle, counts, n = Shingler(words), np.zeros(size, np.int32), 0
+        shingle, counts, n, wait = Shingler(words), np.zeros((DEPTH, 1 << WIDTH_BITS), np.int32), 0, []
+
+        def add():
+            for d, at in enumerate(cells(np.concatenate([np.empty(0, U), *wait]))):
+                counts[d] += np.bincount(at, minlength=1 << WIDTH_BITS).astype(np.int32)
+            wait.clear()
+
+        held = 0
         for b in batches:
             for text in b.column(0).to_pylist():
-                keys, _ = shingle(text)
-                n += 1
-                for d, at in enumerate(cells(keys)):
-                    np.add.at(counts, at + (d << WIDTH_BITS), 1)
+                wait.append(shingle(text)[0])
+                n, held = n + 1, held + len(wait[-1])
+                if held > 1 << 20:
+                    held = 0
+                    add()
+        add()
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([n] * parts, pa.int64()), pa.array([c.tobytes() for c in counts.reshape(parts, -1)], pa.binary())], names=["part", "n", "counts"])
 
     def total(table: pa.Table) -> pa.Table:
@@ -112,15 +122,15 @@ class Weights:
         return keys, ((1 + np.log(tf)) * idf).astype(np.float32)
 
 
-def weighted_jaccard(a: tuple, b: tuple) -> tuple[float, float]:
-    """(similarity, overlap) of two weighted sets with sorted keys."""
+def weighted_jaccard(a: tuple, b: tuple) -> float:
+    """Similarity of two weighted sets with sorted keys."""
     (ka, wa), (kb, wb) = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
     if not len(ka):
-        return 0.0, 0.0
+        return 0.0
     at = np.minimum(np.searchsorted(kb, ka), len(kb) - 1)
     same = kb[at] == ka
     over = float(np.minimum(wa[same], wb[at[same]]).sum(dtype=np.float64))
-    return over / (float(wa.sum(dtype=np.float64)) + float(wb.sum(dtype=np.float64)) - over), over
+    return over / (float(wa.sum(dtype=np.float64)) + float(wb.sum(dtype=np.float64)) - over)
 
 
 def gamma_table() -> np.ndarray:
@@ -135,27 +145,52 @@ def samples(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray, k: int) -
     """k consistent weighted samples, as hashes, of each of the sets that begin at starts (none empty).
 
     For element x and sample i, r is drawn from gamma(2), b uniformly, c from gamma(2), all from a hash of (x, i).
-    t = floor(ln w / r + b); the element with the least ln c - r (t - b + 1) is drawn, with its t.
+    t = floor(ln w / r + b); the element with the least ln c - r (t - b + 1) is drawn, with its t; of equal
+    ones the first.
     """
-    log_w, table, place = np.log(weights), gamma_table(), np.arange(len(keys), dtype=np.int64)
+    n, table, log_w = len(keys), gamma_table(), np.log(weights).astype(np.float32)
+    sizes = np.diff(np.append(starts, n))
     out = np.empty((len(starts), k), U)
+    h, low = np.empty(n, U), np.empty(n, U)
+    own = mix(np.arange(1, k + 1, dtype=U)) | U(1)
+    scale = np.float32(2**-16)
     for i in range(k):
-        h = mix(keys ^ mix(np.array([i + 1], U) * U(0x9E3779B97F4A7C15)))
-        r = table[(h >> U(52)).astype(np.int32)]
-        b = ((h >> U(38)) & U(0x3FFF)).astype(np.float32) * np.float32(2**-14)
-        u = (((h >> U(19)) & U(0x7FFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-19)
-        u *= ((h & U(0x7FFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-19)
-        t = np.floor(log_w / r + b)
-        a = np.log(-np.log(u)) - r * (t - b + 1)
-        # least a, then first place: positive floats are ordered as their bits
-        order = (np.clip(a + np.float32(4096), 1, None).view(np.int32).astype(np.int64) << 32) | place
-        won = np.minimum.reduceat(order, starts) & 0xFFFFFFFF
+        with np.errstate(over="ignore"):
+            np.multiply(keys, own[i], out=h)
+            np.right_shift(h, U(29), out=low)
+            np.bitwise_xor(h, low, out=h)
+            np.multiply(h, U(0x94D049BB133111EB), out=h)
+        np.right_shift(h, U(32), out=low)
+        np.bitwise_xor(h, low, out=h)
+        high, lower = low.astype(np.uint32).view(np.int32), h.astype(np.uint32).view(np.int32)
+        r = table[(high >> 20) & 0xFFF]
+        b = (high & 0xFFFFF).astype(np.float32)
+        b *= np.float32(2**-20)
+        u = (lower & 0xFFFF).astype(np.float32)
+        u += np.float32(0.5)
+        u *= scale
+        v = ((lower >> 16) & 0xFFFF).astype(np.float32)
+        v += np.float32(0.5)
+        v *= scale
+        u *= v
+        np.log(u, out=u)
+        np.negative(u, out=u)
+        np.log(u, out=u)
+        t = log_w / r
+        t += b
+        np.floor(t, out=t)
+        np.subtract(t, b, out=b)
+        b += 1
+        b *= r
+        u -= b
+        least = np.flatnonzero(u == np.repeat(np.minimum.reduceat(u, starts), sizes))
+        won = least[np.searchsorted(least, starts)]
         out[:, i] = mix(keys[won] ^ mix(t[won].astype(np.int64).astype(U)))
     return out
 
 
 def signatures(docs: DataFrame, weights, bands: int, rows: int, words: int) -> DataFrame:
-    """(h, buckets array<long>, sig binary) of each text(h, text) that has a word; sig has 32 bits of each sample."""
+    """(h, buckets array<long>) of each text(h, text) that has a word."""
 
     def run(batches):
         of = Weights(*weights.value, words)
@@ -170,8 +205,7 @@ def signatures(docs: DataFrame, weights, bands: int, rows: int, words: int) -> D
                     key = mix(key ^ s[:, j::rows])
                 key = mix(key ^ mix(np.arange(1, bands + 1, dtype=U))[None]).astype(np.int64)
                 flat = pa.ListArray.from_arrays(np.arange(0, key.size + 1, bands, dtype=np.int32), pa.array(key.ravel()))
-                short = (s >> U(32)).astype(np.uint32)
-                out = pa.RecordBatch.from_arrays([pa.array([h for h, *_ in wait], pa.int64()), flat, pa.array([x.tobytes() for x in short], pa.binary())], names=["h", "buckets", "sig"])
+                out = pa.RecordBatch.from_arrays([pa.array([h for h, *_ in wait], pa.int64()), flat], names=["h", "buckets"])
                 wait.clear()
                 return out
 
@@ -187,11 +221,11 @@ def signatures(docs: DataFrame, weights, bands: int, rows: int, words: int) -> D
             if wait:
                 yield flush()
 
-    return docs.mapInArrow(run, "h long, buckets array<long>, sig binary")
+    return docs.mapInArrow(run, "h long, buckets array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, weights, words: int) -> DataFrame:
-    """(a, b, sim, overlap, size_a, size_b) of each pair(a, b) of text hashes, exactly."""
+def verified(pairs: DataFrame, texts: DataFrame, weights, words: int, similarity: float) -> DataFrame:
+    """(a, b) of the pairs(a, b) of text hashes whose weighted Jaccard similarity, taken exactly, is at least `similarity`."""
     one, two = texts.select(F.col("h").alias("a"), F.col("text").alias("ta")), texts.select(F.col("h").alias("b"), F.col("text").alias("tb"))
 
     def run(batches):
@@ -207,15 +241,57 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, words: int) -> DataFra
 
         for t in batches:
             a, b, ta, tb = (t.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
-            got = []
-            for x, y, tx, ty in zip(a, b, ta, tb):
-                vx, vy = of(tx), vector(y, ty)
-                got.append((*weighted_jaccard(vx, vy), float(vx[1].sum(dtype=np.float64)), float(vy[1].sum(dtype=np.float64))))
-            cols = list(zip(*got)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), *(pa.array(c, pa.float64()) for c in cols)], names=["a", "b", "sim", "overlap", "size_a", "size_b"])
+            alike = [weighted_jaccard(of(tx), vector(y, ty)) >= similarity for y, tx, ty in zip(b, ta, tb)]
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(run, "a long, b long, sim double, overlap double, size_a double, size_b double")
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def links_in_block(h: list, component: list, left: np.ndarray, right: np.ndarray, vectors: list[tuple], similarity: float) -> list[tuple]:
+    """(a, b) of the pairs of a left and a right text, in different components, that are alike.
+
+    The sum of sqrt(w_a w_b) over common shingles is no less than their overlap, the sum of min(w_a, w_b).
+    """
+    sizes = np.array([float(w.sum(dtype=np.float64)) for _, w in vectors])
+    all_keys, counts = np.unique(np.concatenate([k for k, _ in vectors]), return_counts=True)
+    shared = all_keys[counts > 1]
+    bound = np.zeros((len(left), len(right)), np.float32)
+    at = [(p := np.searchsorted(shared, k)) * (p < len(shared)) for k, _ in vectors] if len(shared) else []
+    for first in range(0, len(shared), 4096):
+        width = min(4096, len(shared) - first)
+        m = np.zeros((len(vectors), width), np.float32)
+        for row, ((k, w), p) in enumerate(zip(vectors, at)):
+            ok = (shared[p] == k) & (p >= first) & (p < first + width)
+            m[row, p[ok] - first] = np.sqrt(w[ok])
+        bound += m[left] @ m[right].T
+    needed = (sizes[left][:, None] + sizes[right][None]) * (similarity / (1 + similarity)) * (1 - 1e-4)
+    apart = np.array(component)[left][:, None] != np.array(component)[right][None]
+    return [(h[left[i]], h[right[j]]) for i, j in zip(*np.nonzero((bound >= needed) & apart)) if weighted_jaccard(vectors[left[i]], vectors[right[j]]) >= similarity]
+
+
+def links_among_members(members: DataFrame, texts: DataFrame, weights, words: int, similarity: float) -> DataFrame:
+    """(a, b) of the alike pairs among members(leader, h, component) of one leader that are in different components.
+
+    A leader's members are dealt into blocks; every two blocks meet in one group of at most twice a block's rows.
+    """
+    blocks = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leader", "blocks")
+    own = members.join(blocks, "leader").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    met = own.select("leader", "h", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other"))
+    keyed = met.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "h", "component", "own").join(texts, "h")
+
+    def run(key, t):
+        of = Weights(*weights.value, words)
+        h, component, side = (t.column(c).to_pylist() for c in ("h", "component", "own"))
+        vectors = [of(x) for x in t.column("text").to_pylist()]
+        i, j = key[1].as_py(), key[2].as_py()
+        left, right = (np.flatnonzero(np.array(side) == x) for x in (i, j))
+        got = links_in_block(h, component, left, right, vectors, similarity)
+        a, b = zip(*got) if got else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    found = keyed.groupBy("leader", "i", "j").applyInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, *, similarity: float = 0.8, words: int = 5, bands: int = 16, rows: int = 4) -> DataFrame:
@@ -246,24 +322,13 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = 0.8, words: i
     wanted = led.select("h").distinct()
     # whole texts of those that share a bucket with another, once each
     held = cut(texts.join(wanted, "h", "left_semi").dropDuplicates(["h"]))
-    first = cut(verified(pairs, held, weights, words))
-    links = first.where(F.col("sim") >= similarity).select("a", "b")
+    links = cut(verified(pairs, held, weights, words, similarity))
     grouped = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
-    # what one leader a bucket leaves open: members of different components
-    where = led.join(grouped.select(F.col("node").alias("h"), "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-    split = where.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    known = first.select(F.col("a").alias("h"), F.col("b").alias("leader"), "overlap", F.col("size_a").alias("size"))
-    open_ = where.where("h <> leader").join(split, "bucket", "left_semi").join(known, ["h", "leader"]).join(signed.select("h", "sig"), "h")
-    open_ = cut(open_.select("bucket", "h", "component", "overlap", "size", "sig"))
-    x, y = (open_.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("h", "component", "overlap", "size", "sig")]) for s in "xy")
-    needed = (F.col("size_x") + F.col("size_y")) * (similarity / (1 + similarity)) * (1 - 1e-9)
-    most = F.least("overlap_x", "overlap_y") + F.least(F.col("size_x") - F.col("overlap_x"), F.col("size_y") - F.col("overlap_y"))
-    near = x.join(y, "bucket").where((F.col("h_x") < F.col("h_y")) & (F.col("component_x") != F.col("component_y")) & (most >= needed) & (agreeing(bands * rows) >= LEAST_AGREEING * bands * rows))
-    more = cut(near.select(F.col("h_x").alias("a"), F.col("h_y").alias("b")).distinct())
-    second = verified(more, held, weights, words).where(F.col("sim") >= similarity).select("a", "b")
-    links = cut(links.unionByName(second))
-
+    # what one leader a bucket leaves open: its members in different components
+    members = pairs.select(F.col("a").alias("h"), F.col("b").alias("leader")).join(grouped.select(F.col("node").alias("h"), "component"), "h", "left")
+    members = cut(members.select("leader", "h", F.coalesce("component", "h").alias("component")))
+    links = cut(links.unionByName(links_among_members(members, held, weights, words, similarity)))
     grouped = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     degree = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
     ids = hashed.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("least"))
@@ -276,15 +341,6 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = 0.8, words: i
     return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), kept.alias("kept"), F.col("h").alias("text_hash"))
 
 
-def agreeing(k: int) -> F.Column:
-    """How many of the k 32-bit samples of sig_x and sig_y are equal."""
-    part = lambda s, i: F.substring(s, 4 * i + 1, 4)
-    total = F.lit(0)
-    for i in range(k):
-        total = total + (part("sig_x", i) == part("sig_y", i)).cast("int")
-    return total
-
-
 def op5(spark, sf_dir: str) -> DataFrame:
     """Every document with its class of near duplicates; see near_duplicate_classes."""
     return near_duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
