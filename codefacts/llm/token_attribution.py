@@ -10,6 +10,7 @@ sections add up to the text's count, which separate encodings of the parts do no
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns, ship
-from .wordbpe import NOT_PLAIN, UNSURE, Memo, default_vocabulary
+from .wordbpe import NOT_PLAIN, UNSURE, Memo, byte_alphabet, default_vocabulary
 
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\t-\r \x85\p{Z}\p{L}\p{N}]+|[\t-\r \x85\p{Z}]+(?![^\t-\r \x85\p{Z}])|[\t-\r \x85\p{Z}]+")
 PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -34,8 +35,16 @@ class SpanEncoder:
         self.library.no_truncation()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.memo = Memo(self._spans, 500_000)
+        self.model, self.letters = self.library.model, dict(enumerate(byte_alphabet()[:128]))
 
     def _spans(self, piece: str) -> bytes:
+        if piece.isascii():  # one character a byte: the merge model's tokens give the spans
+            out, at = array("i"), 0
+            for t in self.model.tokenize(piece.translate(self.letters)):
+                out.append(at)
+                at += len(t.value)
+                out.append(at)
+            return out.tobytes()
         return np.array(self.library.encode(piece, add_special_tokens=False).offsets, np.int32).tobytes()
 
     def spans(self, text: str) -> np.ndarray:
