@@ -2,9 +2,11 @@
 
 Every line is parsed to words; a word with a digit is a variable field, <*>. The tree has a fixed depth:
 a line's leaf is its number of words and its `depth` leading words. Equal masked lines are one
-template. Inside a leaf, the most frequent word of each place (weighted by distinct texts) makes one more,
+template. Inside a leaf, the most frequent word of each place (weighted by distinct texts) makes a
 general template: lines that agree with it in `alike` of their places belong to it, and the other
-places are its variable fields. Templates that recur in `min_docs` distinct texts are dropped from all
+places are its variable fields. The lines of a leaf that are neither in it nor exact templates vote again,
+and are split by the word of one place whenever a vote finds no recurring template, until no part can
+reach `min_docs`. Templates that recur in `min_docs` distinct texts are dropped from all
 texts, except from texts of which they make up more than `copy_share` of the words: those are copies
 of one another and left, whole, to document deduplication.
 """
@@ -41,16 +43,40 @@ def recurring(docs: DataFrame, lines: DataFrame, *, depth: int, min_docs: int, a
     # one line of words for each masked line of the leaves that may hold a general template
     worded = parsed_lines(docs, depth).select("leaf", "sig", "masked").join(few, "leaf", "left_semi").groupBy("leaf", "sig").agg(F.min("masked").alias("masked"))
     weights = sigs.join(few, "leaf", "left_semi").select("sig", "docs")
-    placed = cut(worded.join(weights, "sig").select("leaf", "sig", "docs", F.posexplode(F.split("masked", " ")).alias("place", "word")))
-    counted = placed.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("docs"))
-    usual = counted.groupBy("leaf", "place").agg(F.max(F.struct("docs", "word")).alias("top")).select("leaf", "place", F.col("top.word").alias("usual"))
-    like = cut(
-        placed.join(usual, ["leaf", "place"]).groupBy("leaf", "sig")
-        .agg(F.avg((F.col("word") == F.col("usual")).cast("double")).alias("same")).where(F.col("same") >= alike).select("leaf", "sig")
-    )
-    hit = lines.select("sig", "body").join(small(like, MOST_BROADCAST), "sig")
-    reach = hit.groupBy("leaf").agg(F.countDistinct("body").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
-    return exact.unionByName(like.join(reach, "leaf", "left_semi").select("sig")).distinct()
+    rest = cut(worded.join(weights, "sig").select(F.col("leaf").alias("part"), "sig", "docs", F.split("masked", " ").alias("words")))
+    texts, bad, first = lines.select("sig", "body"), exact, True
+    while not rest.isEmpty():
+        seen = cut(voted(rest))
+        like = seen.where(F.col("same") >= alike).select("part", "sig")
+        hit = texts.join(small(like, MOST_BROADCAST), "sig")
+        reach = cut(hit.groupBy("part").agg(F.countDistinct("body").alias("texts")).where(F.col("texts") >= min_docs).select("part", F.lit(True).alias("reached")))
+        bad = bad.unionByName(like.join(reach, "part", "left_semi").select("sig"))
+        left = seen.join(reach, "part", "left").where(F.col("reached").isNull() | (F.col("same") < alike))
+        if first:  # exact templates have voted once, with all others; from now on they do not
+            left = left.where(F.col("docs") < min_docs)
+        else:
+            left = left.withColumn("part", F.when(F.col("reached"), F.col("part")).otherwise(F.xxhash64("part", "word")))
+        left = cut(left.select("part", "sig", "docs", "words"))
+        may = left.groupBy("part").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("sigs")).where((F.col("docs") >= min_docs) & (F.col("sigs") > 1)).select("part")
+        rest = cut(left.join(may, "part", "left_semi"))
+        if first:
+            texts, first = cut(texts.join(small(rest.select("sig"), MOST_BROADCAST), "sig", "left_semi").distinct()), False
+    return bad.distinct()
+
+
+def voted(rest: DataFrame) -> DataFrame:
+    """rest (part, sig, docs, words) with same, the share of its places that hold their part's most frequent word, and word, that of the place on which the part is best split.
+
+    That is the place whose most frequent word has the most texts, of the places that differ within the part.
+    """
+    counted = rest.select("part", "docs", F.posexplode("words").alias("place", "word")).groupBy("part", "place", "word").agg(F.sum("docs").alias("docs"))
+    usual = counted.groupBy("part", "place").agg(F.max(F.struct("docs", "word")).alias("top"), F.count(F.lit(1)).alias("kinds"))
+    tops = usual.groupBy("part").agg(
+        F.sort_array(F.collect_list(F.struct("place", "top.word"))).alias("tops"), F.max(F.when(F.col("kinds") > 1, F.struct("top.docs", -F.col("place")))).alias("split")
+    )
+    alike = F.zip_with("words", "tops", lambda w, t: (w == t["word"]).cast("int"))
+    same = F.aggregate(alike, F.lit(0), lambda n, x: n + x) / F.size("words")
+    return rest.join(tops, "part").select("part", "sig", "docs", "words", same.alias("same"), F.get("words", -F.col("split.col2")).alias("word"))
 
 
 def drop_recurring_lines(docs: DataFrame, *, depth: int = 3, min_docs: int = 5, alike: float = 0.75, copy_share: float = 0.8) -> DataFrame:

@@ -164,6 +164,15 @@ def test_line_templates_on_odd_texts(spark):
     assert line_templates.drop_recurring_lines(df.limit(0)).count() == 0
 
 
+def test_every_template_of_a_leaf_is_found(spark):
+    kinds = [("file was read by %s from disk alpha on host", 8), ("file was read in %s under lock beta at night", 8), ("user has gone off %s without any last word", 8), ("user has gone to the same old place again", 60)]
+    own = lambda n, k: " ".join(f"{x}{chr(97 + n)}{chr(97 + k // 26)}{chr(97 + k % 26)}" for x in "pqrst")
+    rows = [(100 * n + k, f"{own(n, k)}\n{line.replace('%s', own(n, k)[:4])}\nz{own(n, k)}") for n, (line, many) in enumerate(kinds) for k in range(many)]
+    for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        n, k = divmod(r.doc_id, 100)
+        assert (r.text, r.n_lines_dropped) == (f"{own(n, k)}\nz{own(n, k)}", 1)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     n = docs.count()
