@@ -69,21 +69,60 @@ def plain_form(node: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(cleared, "&{2,}", "&"), r"\?&", "?"), "[?&]$", "")
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value stated once however often then uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def without_dots(path: Column) -> Column:
+    """A path from / on without the segments . and .. (RFC 3986, 5.2.4)."""
+    parts = F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/")))
+    step = lambda kept, x: F.when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step, lambda kept: F.array_join(F.concat(kept, F.when(path.rlike(r"(?s)/\.\.?$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/"))
+    return F.concat(F.lit("/"), kept)
+
+
 def linked(url: Column, target: Column) -> Column:
-    """A link's target as a url: absolute, //host/path or /path; anything else gives null."""
-    start = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    return F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(F.lit("http:"), target)).when(target.startswith("/") & (start != ""), F.concat(start, target))
+    """A link's target as a url, relative references resolved against url; null for other schemes, for #..., and for a relative one where url has no ://."""
+    start, path = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), path_of(url)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, "(?s)^(.*/)", 1))
+    to, tail = F.regexp_extract(target, "(?s)^([^?#]*)", 1), F.regexp_extract(target, "(?s)^[^?#]*(.*)$", 1)
+    merged = F.when(to == "", path).otherwise(let(F.when(target.startswith("/"), to).otherwise(F.concat(folder, to)), without_dots))
+    relative = F.when((start != "") & ~target.startswith("#") & ~target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(start, merged, tail))
+    return F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(F.lit("http:"), target)).otherwise(relative)
+
+
+def decoded(value: Column) -> Column:
+    """An attribute's value with numeric character references and &amp; &lt; &gt; &quot; &apos; replaced, each once."""
+
+    def meaning(x: Column) -> Column:
+        code = F.when(x.rlike("^&#[xX]"), F.conv(F.regexp_extract(x, "^&#[xX]([^;]+)", 1), 16, 10)).otherwise(F.regexp_extract(x, "^&#([0-9]+)", 1))
+        number = code.try_cast("int")
+        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        named = F.when(x == "&amp;", "&").when(x == "&lt;", "<").when(x == "&gt;", ">").when(x == "&quot;", '"').when(x == "&apos;", "'")
+        return F.coalesce(named, F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")), x)
+
+    known = "&(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});"
+    found = F.transform(F.regexp_extract_all(value, F.lit(known), 0), meaning)
+    return F.when(value.contains("&"), F.array_join(F.zip_with(F.split(value, known, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(value)
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) nodes: canonical links and refresh redirects in the pages' html."""
+    """(src, dst) nodes: all canonical links and refresh redirects in the pages' html; relative ones start from the page's base, if it has one."""
     url, html = F.col("url"), F.col("html")
-    tag = F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    canonical = F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
-    meta = F.regexp_extract(html, r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>""", 0)
-    refresh = F.regexp_extract(meta, r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>]+)""", 1)
-    targets = pages.select("url", F.explode(F.array(canonical, refresh)).alias("target")).where("target <> ''")
-    return targets.select(node_of(url).alias("src"), node_of(linked(url, F.col("target"))).alias("dst"))
+
+    def values(tag: str, marked: str, name: str) -> Column:
+        tags = F.filter(F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*>"), 0), lambda t: t.rlike(marked))
+        return F.transform(tags, lambda t: F.regexp_extract(t, rf"""(?is)\b{name}\s*=\s*["']?\s*([^"'\s>]+)""", 1))
+
+    canonical = values("link", r"""(?is)\brel\s*=\s*(?:["']?|"(?:[^">]*\s)?|'(?:[^'>]*\s)?)canonical\b""", "href")
+    refresh = values("meta", r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b""", "url")
+    base = F.regexp_extract(html, r"""(?is)<base\b[^>]*\bhref\s*=\s*["']?\s*([^"'\s>]+)""", 1)
+    targets = pages.select("url", base.alias("base"), F.explode(F.concat(canonical, refresh)).alias("target")).where("target <> ''").distinct()
+    start = let(decoded(F.col("base")), lambda b: F.when(b == "", url).otherwise(F.coalesce(linked(url, b), url)))
+    target = F.regexp_replace(decoded(F.col("target")), r"""^["'\s]+|["'\s]+$""", "")
+    dst = let(start, lambda s: let(target, lambda t: F.when(t != "", let(linked(s, t), node_of))))
+    return targets.select(node_of(url).alias("src"), dst.alias("dst"))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, *, default: str = "allow") -> DataFrame:

@@ -56,6 +56,22 @@ def test_url_filter_on_odd_pages(spark):
     assert {r.page_id: r.verdict for r in url_filter.filter_urls(pages, rules, redirects).collect()}[12] == "block"
 
 
+def test_relative_and_repeated_links_reach_their_pages(spark):
+    links = [
+        ("<link rel=canonical href='page2.html'>", "shop.org/a/page2.html"), ("<link rel=canonical href='?id=1'>", "shop.org/a/b.html?id=1"), ("<link rel=canonical href='../x'>", "shop.org/x"), ("<link rel=canonical href='./../../y/.'>", "shop.org/y/"),
+        ("<link rel=canonical href='http://h.org/a?x=1&amp;y=2&#38;z=&#x3b1;&amp;lt;'>", "h.org/a?x=1&y=2&z=\u03b1&lt;"), ('<link rel="alternate canonical" href=/c>', "shop.org/c"), ("<link rel='shortcut canonical' href=/s>", "shop.org/s"),
+        ("<meta http-equiv=refresh content='5; url=one'><meta http-equiv='refresh' content='0; url=&quot;two&quot;'>", "shop.org/a/two"), ("<link rel=canonical href=/first><link rel=canonical href=/second>", "shop.org/second"),
+        ("<base href='/deep/er/'><link rel=canonical href='f'>", "shop.org/deep/er/f"), ("<link rel=canonical href='mailto:a@b.c'>", None), ("<link rel=canonical href='#top'>", None), ("<link rel=stylesheet href='canonical'>", None),
+    ]
+    pages = spark.createDataFrame([(k, f"http://shop.org/a/b.html#{k}" if dst else f"http://none.org/{k}", html) for k, (html, dst) in enumerate(links)], "page_id long, url string, html string")
+    edges = {tuple(r) for r in url_filter.page_edges(pages).collect()}
+    assert {d for s, d in edges if s == "shop.org/a/b.html"} >= {d for _, d in links if d} and not [d for s, d in edges if s != "shop.org/a/b.html" and d]
+    table = [(1, "http://a.net/x/1", "<link rel=canonical href='../z/2'>"), (2, "http://a.net/z/2", None), (3, "http://b.net/", "<meta http-equiv=refresh content='0; url=http://c.org/?p=1&amp;q=2'>"), (4, "http://c.org/?p=1&q=2", None)]
+    pages = spark.createDataFrame(table, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.filter_urls(pages, url_filter.rule_table(spark, url_filter.RULES)).collect()}
+    assert got[4].verdict == "block" and got[1].alias_of == got[2].alias_of == "a.net/x/1"
+
+
 def words(rnd, n):
     return [f"w{rnd.randrange(4000)}" for _ in range(n)]
 
