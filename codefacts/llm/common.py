@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -31,19 +32,44 @@ def ship(spark: SparkSession) -> None:
     sc._codefacts_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: what the cluster names in spark.checkpoint.dir; a temporary one only where the master is this machine."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and kept in the session's checkpoint folder.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where none is set (tests on
-    one machine) a temporary one is used. Partitions keep their numbers, so later jobs see one answer
-    even if an executor is lost.
+    Partitions keep their numbers, so later jobs see one answer even if an executor is lost.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Stored:
+    """A table in the shared folder: rows that are read often and by few columns. remove() once nothing reads them."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.spark, self.path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def remove(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def wide_hash(column) -> F.Column:
+    """128 bits that stand for a string; null for null."""
+    return F.unhex(F.md5(column))
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, whatever else the table carries."""
     return df.select(*[F.col(f"`{n}`") for n in names])
@@ -130,6 +156,16 @@ def blocks(n: int, most: int, spark: SparkSession, *, least: int = 512) -> int:
     return max(1, -(-n // most), min(n // least, 2 * spark.sparkContext.defaultParallelism))
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast if it has at most so many rows (df must be cheap to count: a checkpoint); else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, megabytes: int = 64) -> DataFrame:
+    """df, marked for broadcast if its rows hold at most so many bytes (df must be cheap to read: a checkpoint); else as it is, for a shuffled join."""
+    return F.broadcast(df) if held_bytes(df) <= megabytes << 20 else df
+
+
+def held_bytes(df: DataFrame) -> int:
+    """Bytes of the rows of df: eight a fixed-size column, and what strings, binaries and arrays hold."""
+    width = F.lit(16)
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        held = F.octet_length(c) if kind in ("string", "binary") else 24 * F.greatest(F.size(c), F.lit(0)) if kind in ("array", "map") else F.lit(0)
+        width = width + 8 + F.coalesce(held, F.lit(0))
+    return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]

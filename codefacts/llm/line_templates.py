@@ -5,52 +5,59 @@ a line's leaf is its number of words and its `depth` leading words. Equal masked
 template. Inside a leaf, the most frequent word of each place (weighted by distinct texts) makes a
 general template: lines that agree with it in `alike` of their places belong to it, and the other
 places are its variable fields. The lines of a leaf that are neither in it nor exact templates vote again,
-and are split by the word of one place whenever a vote finds no recurring template, until no part can
-reach `min_docs`. Templates that recur in `min_docs` distinct texts are dropped from all
-texts, except from texts of which they make up more than `copy_share` of the words: those are copies
-of one another and left, whole, to document deduplication.
+and are split by the word of one place whenever a vote finds no template in `min_docs` texts, until no
+part can reach so many.
+
+A template recurs if `min_docs` texts hold it that are no copies of one another, so what only a group of
+copies shares is left to document deduplication. Copies are texts whose lengths and whose sets of five-word
+shingles are alike by `similarity`. Texts are taken in the order of their hashes: one that is no copy of
+those taken before is taken, until enough are. Texts of 2 * min_docs - 1 size classes need no such proof.
+Lines of recurring templates are dropped from all texts. A line of more than `long_words` words recurs
+with two such texts already, and then stays in the first of them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, cut, fresh, small
+from .common import Stored, columns, cut, fresh, small, wide_hash
+from .url_filter import let
 
 FIELD = "<*>"
-#: Largest tables, in rows of a few numbers each, that are sent to every executor; larger ones are shuffled.
-MOST_BROADCAST = 500_000
 
 
 def parsed_lines(docs: DataFrame, depth: int) -> DataFrame:
-    """(doc_id, body, k, masked, leaf, sig, n): each line with a word; masked has its words, one blank apart, body and sig are hashes of the text and of masked."""
-    line = docs.select("doc_id", F.xxhash64("text").alias("body"), F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    """(doc_id, body, chars, k, masked, leaf, sig, n): each line with a word; masked has its words, one blank apart, body and sig are hashes of the text and of masked."""
+    text = docs.select("doc_id", wide_hash("text").alias("body"), F.length("text").alias("chars"), "text")
+    line = text.select("doc_id", "body", "chars", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    own = ["doc_id", "body", "chars", "k"]
     fields = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", "[^ \t\r]*[0-9][^ \t\r]*", FIELD)).otherwise(F.col("line"))
     spaced = F.when(F.col("m").rlike("[\t\r]|  "), F.regexp_replace("m", "[ \t\r]+", " ")).otherwise(F.col("m"))
-    masked = line.select("doc_id", "body", "k", fields.alias("m")).select("doc_id", "body", "k", F.trim(spaced).alias("masked")).where("masked <> ''")
+    masked = line.select(*own, fields.alias("m")).select(*own, F.trim(spaced).alias("masked")).where("masked <> ''")
     n = F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1
-    return masked.select("*", F.xxhash64(n, F.substring_index("masked", " ", depth)).alias("leaf"), F.xxhash64("masked").alias("sig"), n.alias("n"))
+    return masked.select("*", F.xxhash64(n, F.substring_index("masked", " ", depth)).alias("leaf"), wide_hash("masked").alias("sig"), n.alias("n"))
 
 
-def recurring(docs: DataFrame, lines: DataFrame, *, depth: int, min_docs: int, alike: float) -> DataFrame:
-    """sig of the masked lines whose template recurs."""
-    in_text = lines.groupBy("sig", "body").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"))
-    sigs = cut(in_text.groupBy("sig").agg(F.count(F.lit(1)).alias("docs"), F.first("leaf").alias("leaf"), F.first("n").alias("n")))
-    exact = sigs.where(F.col("docs") >= min_docs).select("sig")
+def general_templates(lines: DataFrame, sigs: DataFrame, *, depth: int, min_docs: int, alike: float) -> list[DataFrame]:
+    """Of each vote (key, sig): the lines of general templates that min_docs distinct texts hold."""
     leaves = cut(sigs.where(F.col("n") > depth).groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("sigs")).where((F.col("docs") >= min_docs) & (F.col("sigs") > 1)).select("leaf"))
-    few = small(leaves, MOST_BROADCAST)
+    few = small(leaves)
     # one line of words for each masked line of the leaves that may hold a general template
-    worded = parsed_lines(docs, depth).select("leaf", "sig", "masked").join(few, "leaf", "left_semi").groupBy("leaf", "sig").agg(F.min("masked").alias("masked"))
+    worded = lines.select("leaf", "sig", "masked").join(few, "leaf", "left_semi").groupBy("leaf", "sig").agg(F.min("masked").alias("masked"))
     weights = sigs.join(few, "leaf", "left_semi").select("sig", "docs")
     rest = cut(worded.join(weights, "sig").select(F.col("leaf").alias("part"), "sig", "docs", F.split("masked", " ").alias("words")))
-    texts, bad, first = lines.select("sig", "body"), exact, True
+    texts, found, first = lines.select("sig", "body"), [], True
     while not rest.isEmpty():
         seen = cut(voted(rest))
         like = seen.where(F.col("same") >= alike).select("part", "sig")
-        hit = texts.join(small(like, MOST_BROADCAST), "sig")
+        hit = texts.join(small(like), "sig")
         reach = cut(hit.groupBy("part").agg(F.countDistinct("body").alias("texts")).where(F.col("texts") >= min_docs).select("part", F.lit(True).alias("reached")))
-        bad = bad.unionByName(like.join(reach, "part", "left_semi").select("sig"))
+        key = wide_hash(F.concat_ws(":", F.col("part"), F.lit(len(found))))
+        reach = small(reach)
+        found.append(like.join(reach, "part", "left_semi").select(key.alias("key"), "sig"))
         left = seen.join(reach, "part", "left").where(F.col("reached").isNull() | (F.col("same") < alike))
         if first:  # exact templates have voted once, with all others; from now on they do not
             left = left.where(F.col("docs") < min_docs)
@@ -60,8 +67,8 @@ def recurring(docs: DataFrame, lines: DataFrame, *, depth: int, min_docs: int, a
         may = left.groupBy("part").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("sigs")).where((F.col("docs") >= min_docs) & (F.col("sigs") > 1)).select("part")
         rest = cut(left.join(may, "part", "left_semi"))
         if first:
-            texts, first = cut(texts.join(small(rest.select("sig"), MOST_BROADCAST), "sig", "left_semi").distinct()), False
-    return bad.distinct()
+            texts, first = cut(texts.join(small(cut(rest.select("sig"))), "sig", "left_semi").distinct()), False
+    return found
 
 
 def voted(rest: DataFrame) -> DataFrame:
@@ -79,27 +86,72 @@ def voted(rest: DataFrame) -> DataFrame:
     return rest.join(tops, "part").select("part", "sig", "docs", "words", same.alias("same"), F.get("words", -F.col("split.col2")).alias("word"))
 
 
-def drop_recurring_lines(docs: DataFrame, *, depth: int = 3, min_docs: int = 5, alike: float = 0.75, copy_share: float = 0.8) -> DataFrame:
+def shingles(text: F.Column) -> F.Column:
+    """The distinct hashes of a text's runs of five words, the words as they stand; one run of all words if there are fewer."""
+    words = F.filter(F.split(text, "[ \t\r\n]+"), lambda x: x != "")
+    return let(words, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 5)))))
+
+
+def spread(held: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """(key, first): the keys of held(key, body, chars, need) that `need` texts hold which are no copies of one another, and the first text of each."""
+    size_class = F.least(F.lit(63), F.floor(F.log(F.greatest("chars", F.lit(1))) / F.log(F.lit(1 / similarity)))).cast("int")
+    kinds = F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), size_class)))
+    found = held.groupBy("key").agg(F.max("need").alias("need"), kinds.alias("kinds"), F.min("body").alias("first"))
+    found = cut(found.withColumn("sure", F.col("kinds") >= 2 * F.col("need") - 1))
+    out = [found.where("sure").select("key", "first")]
+    left = cut(held.join(small(found.where("not sure").select("key", "first")), "key"))
+    if left.isEmpty():
+        return out[0]
+    bodies = cut(left.select("body").distinct())
+    sets = cut(docs.select(wide_hash("text").alias("body"), "text").join(small(bodies), "body", "left_semi").select("body", shingles(F.col("text")).alias("set")).dropDuplicates(["body"]))
+    for taken in range(1, left.agg(F.max("need")).first()[0]):
+        next_ = left.groupBy("key").agg(F.min(F.struct("body", "chars")).alias("x")).select("key", F.col("x.body").alias("taken"), F.col("x.chars").alias("taken_chars"))
+        met = left.join(next_, "key").where("body <> taken")
+        near = F.least("chars", "taken_chars") / F.greatest("chars", "taken_chars") >= similarity
+        both = met.where(near).select("body", "taken").distinct().join(sets, "body").join(sets.select(F.col("body").alias("taken"), F.col("set").alias("taken_set")), "taken")
+        shared = F.size(F.array_intersect("set", "taken_set"))
+        copies = both.where(shared / (F.size("set") + F.size("taken_set") - shared) >= similarity).select("body", "taken")
+        left = cut(met.join(copies, ["body", "taken"], "left_anti").select(*left.columns))
+        out.append(left.where(F.col("need") == taken + 1).select("key", "first").distinct())
+        left = left.where(F.col("need") > taken + 1)
+        if left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, out)
+
+
+def recurring(docs: DataFrame, lines: DataFrame, *, depth: int, min_docs: int, alike: float, similarity: float, long_words: int) -> DataFrame:
+    """(sig, stays): the masked lines whose template recurs, and the text in which the line stays all the same, else null."""
+    in_text = lines.groupBy("sig", "body").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"))
+    sigs = cut(in_text.groupBy("sig").agg(F.count(F.lit(1)).alias("docs"), F.first("leaf").alias("leaf"), F.first("n").alias("n")))
+    need = F.when(F.col("docs") >= min_docs, min_docs).when((F.col("n") > long_words) & (F.col("docs") > 1), 2)
+    cover = sigs.select(F.col("sig").alias("key"), "sig", need.alias("need")).where("need is not null")
+    for got in general_templates(lines, sigs, depth=depth, min_docs=min_docs, alike=alike):
+        cover = cover.unionByName(got.withColumn("need", F.lit(min_docs)))
+    cover = cut(cover)
+    held = cut(lines.select("sig", "body", "chars").join(small(cover), "sig").select("key", "body", "chars", "need").distinct())
+    found = cover.join(small(cut(spread(held, docs, similarity))), "key").withColumn("stays", F.when(F.col("need") < min_docs, F.col("first")))
+    return found.groupBy("sig").agg(F.when(~F.bool_or(F.col("stays").isNull()), F.min("stays")).alias("stays"))
+
+
+def drop_recurring_lines(docs: DataFrame, *, depth: int = 3, min_docs: int = 5, alike: float = 0.75, similarity: float = 0.8, long_words: int = 50) -> DataFrame:
     """docs with the lines of recurring templates taken out of text, and n_lines_dropped added.
 
     docs: doc_id, text and any other columns, which are kept as they are (a column named n_lines_dropped is
     replaced). Lines end at a line feed; a line without a word is never a template and stays. Recurrence counts
-    distinct texts, so exact copies count once. Null and empty texts stay. Repeated rows are each cleaned
-    alike; a null doc_id is a value like any other. An empty table gives no rows.
+    distinct texts that are no copies of one another; a text of nothing but recurring lines is left empty. Null and empty
+    texts stay. Repeated rows are each cleaned alike; a null doc_id is a value like any other. Very long texts and
+    lines are read whole. Words with equally many texts in a vote: the last in order wins. An empty table gives no rows.
     """
     docs = docs.drop("n_lines_dropped")
     narrow = columns(docs, "doc_id", "text").where("text is not null")
-    lines = cut(parsed_lines(narrow, depth).drop("masked"))
-    bad = cut(recurring(narrow, lines, depth=depth, min_docs=min_docs, alike=alike))
-    marked = lines.join(small(bad.withColumn("bad", F.lit(True)), MOST_BROADCAST), "sig", "left")
-    by_text = marked.groupBy("doc_id", "body").agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("n_bad"), F.collect_set(F.when(F.col("bad"), F.col("k"))).alias("drop")
-    )
+    kept_lines = Stored(parsed_lines(narrow, depth), "lines")
+    lines = kept_lines.rows
+    bad = cut(recurring(narrow, lines, depth=depth, min_docs=min_docs, alike=alike, similarity=similarity, long_words=long_words))
+    hit = lines.select("doc_id", "body", "k", "sig").join(small(bad), "sig").where("stays is null or stays <> body")
     key, body, drop = fresh(docs, "_id", "_body", "_drop")
-    act = cut(by_text.where((F.size("drop") > 0) & (F.col("n_bad") <= copy_share * F.col("n"))).select(F.col("doc_id").alias(key), F.col("body").alias(body), F.col("drop").alias(drop)))
-    held = act.agg(F.coalesce(F.sum(F.size(drop)), F.lit(0))).first()[0]
-    act = small(act, MOST_BROADCAST) if held <= 8 * MOST_BROADCAST else act
-    joined = docs.join(act, docs["doc_id"].eqNullSafe(act[key]) & (F.xxhash64(docs["text"]) == act[body]), "left")
+    act = cut(hit.groupBy("doc_id", "body").agg(F.collect_set("k").alias("drop")).select(F.col("doc_id").alias(key), F.col("body").alias(body), F.col("drop").alias(drop)))
+    kept_lines.remove()
+    joined = docs.join(small(act), docs["doc_id"].eqNullSafe(act[key]) & (wide_hash(docs["text"]) == act[body]), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains(drop, k)), "\n")
     text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(kept)
     return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size(drop), F.lit(0)).alias("n_lines_dropped"))
@@ -110,8 +162,23 @@ def op10(spark, sf_dir: str) -> DataFrame:
     return drop_recurring_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "text", "n_lines_dropped")
 
 
+def _rounds(min_docs: int) -> str:
+    """CTEs that take one text of each open key a round and leave those that are no copies of it."""
+    out = ""
+    for r in range(1, min_docs):
+        out += f"""
+, taken{r} AS MATERIALIZED (
+  SELECT key, min(body) AS taken FROM left{r - 1} GROUP BY key
+), left{r} AS MATERIALIZED (
+  SELECT l.key, l.need, l.body FROM left{r - 1} l JOIN taken{r} t USING (key) JOIN sets a ON a.body = l.body JOIN sets b ON b.body = t.taken
+  WHERE l.body <> t.taken AND l.need > {r} AND NOT (least(a.chars, b.chars) / greatest(a.chars, b.chars) >= 0.8
+    AND len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.8)
+)"""
+    return out
+
+
 def oracle(documents: str = "documents", min_docs: int = 5) -> str:
-    """CTEs that end in `cleaned`: documents with text replaced and n_lines_dropped (SIZE of depth 3, 0.75 alike, 0.8 copies)."""
+    """CTEs that end in `cleaned`: documents with text replaced and n_lines_dropped (depth 3, 0.75 alike, 0.8 similar, 50 words); one vote a leaf."""
     return rf"""
 line AS (
   SELECT doc_id, text, CAST(k - 1 AS INTEGER) AS k, ln FROM (
@@ -137,13 +204,24 @@ line AS (
   SELECT leaf, w FROM placed JOIN usual USING (leaf, place) GROUP BY leaf, w HAVING avg(CASE WHEN word = usual THEN 1.0 ELSE 0.0 END) >= 0.75
 ), reach AS (
   SELECT leaf FROM in_text JOIN alike USING (leaf, w) GROUP BY leaf HAVING count(DISTINCT text) >= {min_docs}
+), cover AS (
+  SELECT 'e' || array_to_string(w, ' ') AS key, leaf, w, CASE WHEN docs >= {min_docs} THEN {min_docs} ELSE 2 END AS need FROM sigs WHERE docs >= {min_docs} OR (n > 50 AND docs > 1)
+  UNION ALL SELECT 'g' || array_to_string(leaf, ' '), leaf, w, {min_docs} FROM alike WHERE leaf IN (SELECT leaf FROM reach)
+), held AS MATERIALIZED (
+  SELECT DISTINCT key, need, md5(text) AS body, text, length(text) AS chars FROM in_text JOIN cover USING (leaf, w)
+), kinds AS MATERIALIZED (
+  SELECT key, min(body) AS first, count(DISTINCT least(63, floor(ln(greatest(chars, 1)) / ln(1 / CAST(0.8 AS DOUBLE))))) >= 2 * any_value(need) - 1 AS sure FROM held GROUP BY key
+), sets AS MATERIALIZED (
+  SELECT body, any_value(chars) AS chars, list_distinct(list_transform(range(1, greatest(len(any_value(ws)) - 4, 1) + 1), lambda i: array_to_string(any_value(ws)[i:i + 4], chr(10)))) AS s
+  FROM (SELECT body, chars, list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '') AS ws FROM held JOIN kinds USING (key) WHERE NOT sure) GROUP BY body
+), left0 AS MATERIALIZED (
+  SELECT key, need, body FROM held JOIN kinds USING (key) WHERE NOT sure
+){_rounds(min_docs)}, recurs AS (
+  SELECT key FROM kinds WHERE sure {" ".join(f"UNION SELECT key FROM left{r} WHERE need = {r + 1}" for r in range(1, min_docs))}
 ), bad AS (
-  SELECT leaf, w FROM sigs WHERE docs >= {min_docs} UNION SELECT leaf, w FROM alike WHERE leaf IN (SELECT leaf FROM reach)
-), marked AS (
-  SELECT l.doc_id, l.text, l.k, l.n, b.leaf IS NOT NULL AS is_bad FROM leafed l LEFT JOIN bad b ON l.leaf = b.leaf AND l.w = b.w
+  SELECT leaf, w, CASE WHEN min(need) = {min_docs} OR max(need) = {min_docs} THEN NULL ELSE min(first) END AS stays FROM cover JOIN recurs USING (key) JOIN kinds USING (key) GROUP BY leaf, w
 ), act AS (
-  SELECT doc_id AS id, text AS body, list(DISTINCT k) FILTER (is_bad) AS gone FROM marked GROUP BY doc_id, text
-  HAVING bool_or(is_bad) AND sum(CASE WHEN is_bad THEN n ELSE 0 END) <= 0.8 * sum(n)
+  SELECT doc_id AS id, text AS body, list(DISTINCT k) AS gone FROM leafed l JOIN bad b ON l.leaf = b.leaf AND l.w = b.w WHERE stays IS NULL OR stays <> md5(text) GROUP BY doc_id, text
 ), cleaned AS (
   SELECT d.* EXCLUDE (text), CASE WHEN a.gone IS NULL THEN d.text ELSE array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(a.gone, CAST(i - 1 AS INTEGER))), chr(10)) END AS text,
     CAST(coalesce(len(a.gone), 0) AS INTEGER) AS n_lines_dropped

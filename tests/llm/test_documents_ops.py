@@ -176,7 +176,7 @@ def test_line_templates_on_odd_texts(spark):
     assert plain(got.select("doc_id", "text", "n_lines_dropped").toPandas()) == plain(want)
     by_id = {r.doc_id: r for r in got.collect()}
     assert by_id[4].text == LINES[4][1].split("\n")[0] + "\n" and by_id[4].n_lines_dropped == 3
-    assert by_id[23].text == "Shared footer of all pages" and by_id[110].n_lines_dropped == 0
+    assert by_id[23].text == "" and by_id[23].n_lines_dropped == 1 and by_id[110].n_lines_dropped == 0
     assert line_templates.drop_recurring_lines(df.limit(0)).count() == 0
 
 
@@ -189,6 +189,27 @@ def test_every_template_of_a_leaf_is_found(spark):
         assert (r.text, r.n_lines_dropped) == (f"{own(n, k)}\nz{own(n, k)}", 1)
 
 
+def test_pages_of_nothing_but_boilerplate_are_cleaned(spark):
+    rows = [(k, f"Cookie notice accept all\nSign in to continue here\nown{chr(97 + k)}") for k in range(10)]
+    rows += [(100 + k, f"job step done alpha beta gamma delta v{chr(97 + k)}") for k in range(10)] + [(200 + k, f"job step done one two three four v{chr(97 + k)}") for k in range(6)]
+    got = {r.doc_id: (r.text, r.n_lines_dropped) for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: (f"own{chr(97 + k)}", 2) for k in range(10)} | {k: ("", 1) for k, _ in rows[10:]}
+
+
+def test_what_only_copies_share_stays(spark):
+    rnd = random.Random(3)
+    base = [" ".join(words(rnd, 12)) for _ in range(40)]
+    near = [(k, "\n".join([*base[:k], f"changed{chr(97 + k)} here", *base[k + 1 :], "Common footer"])) for k in range(20)]
+    other = [(100 + k, " ".join(words(rnd, 30)) + "\nCommon footer") for k in range(4)]
+    passage = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    held = [(200 + k, " ".join(words(rnd, 90)) + f"\n{passage}") for k in range(3)]
+    rows = near + other + held
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, text in near + other:
+        assert got[k] == text.removesuffix("\nCommon footer")
+    assert sorted(passage in got[k] for k, _ in held) == [False, False, True]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     n = docs.count()
