@@ -52,16 +52,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-class Stored:
-    """A table in the shared folder: rows that are read often and by few columns. remove() once nothing reads them."""
+class Scratch:
+    """Tables of one operator in the shared folder: written once, read by the columns that are asked for. remove() once nothing reads them."""
 
-    def __init__(self, df: DataFrame, name: str):
-        self.spark, self.path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The rows of df, computed once. Unlike a checkpoint, the table brings none of its plan's constraints along, which grow in loops."""
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -156,7 +161,7 @@ def blocks(n: int, most: int, spark: SparkSession, *, least: int = 512) -> int:
     return max(1, -(-n // most), min(n // least, 2 * spark.sparkContext.defaultParallelism))
 
 
-def small(df: DataFrame, megabytes: int = 64) -> DataFrame:
+def small(df: DataFrame, megabytes: int = 10) -> DataFrame:
     """df, marked for broadcast if its rows hold at most so many bytes (df must be cheap to read: a checkpoint); else as it is, for a shuffled join."""
     return F.broadcast(df) if held_bytes(df) <= megabytes << 20 else df
 
@@ -166,6 +171,6 @@ def held_bytes(df: DataFrame) -> int:
     width = F.lit(16)
     for f in df.schema.fields:
         c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
-        held = F.octet_length(c) if kind in ("string", "binary") else 24 * F.greatest(F.size(c), F.lit(0)) if kind in ("array", "map") else F.lit(0)
+        held = F.octet_length(c) if kind in ("string", "binary") else 8 * F.greatest(F.size(c), F.lit(0)) if kind in ("array", "map") else F.lit(0)
         width = width + 8 + F.coalesce(held, F.lit(0))
     return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]

@@ -3,7 +3,7 @@
 Language, source and size are quantised to quantile bins, whose Hilbert index orders the documents so
 that neighbours are alike in all three; runs of that order are the shards, which a reader can then
 skip by the range of any of the dimensions. Equal texts stand together at one place of the curve (their
-least language and source) and stay in one shard, unless they are so many that equal sizes need them cut.
+least language and source) and stay in one shard, unless equal sizes need them cut.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns, cut, ship
+from .common import cut, fresh, ship, wide_hash
 
-BITS, SALTS = 5, 64
+BITS = 5
 
 
 def hilbert_index(coordinates: list[np.ndarray], bits: int) -> np.ndarray:
@@ -45,10 +45,22 @@ def hilbert_index(coordinates: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def text_order(name: str) -> F.Column:
-    """The first six bytes of a string as a number in the same order; null first."""
-    digits = F.rpad(F.hex(F.substring(F.encode(F.col(name), "UTF-8"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(-1))
+def string_cuts(rows: DataFrame, name: str, bins: int) -> list[str]:
+    """At most bins - 1 values that cut the ordered rows into near equal parts; nulls count as first. The driver gets one value a bin."""
+    counts = rows.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    total, missing = counts.agg(F.sum("n"), F.sum(F.when(F.col(name).isNull(), F.col("n")))).first()
+    run = running_totals(counts.where(F.col(name).isNotNull()), [name], ["n"])
+    middle = F.col("before_n") + F.col("n") / 2 + (missing or 0)
+    tops = run.groupBy(F.floor(middle * bins / (total or 1)).alias("bin")).agg(F.max(name).alias("top")).collect()
+    return sorted(r.top for r in tops)[:-1]
+
+
+def bin_of(value: F.Column, cuts: list, bins: int) -> F.Column:
+    """How many cuts are under the value, stretched to 0 .. bins - 1; 0 for null."""
+    under = F.lit(0)
+    for c in cuts:
+        under = under + (value > F.lit(c)).cast("int")
+    return F.coalesce(F.floor(under * bins / (len(cuts) + 1)), F.lit(0)).cast("int")
 
 
 def running_totals(rows: DataFrame, order: list[str], sums: list[str]) -> DataFrame:
@@ -81,63 +93,84 @@ def running_totals(rows: DataFrame, order: list[str], sums: list[str]) -> DataFr
     return kept.mapInArrow(run, schema)
 
 
-def hilbert_shards(docs: DataFrame, shards: int = 8, *, whole_group_share: float = 1 / 32) -> DataFrame:
-    """Every document's shard: doc_id, size, text_crc32, curve, shard, slot, lang_order, source_order.
+def hilbert_shards(docs: DataFrame, shards: int = 8, *, tolerance: float = 1 / 64, carry: str | None = None) -> DataFrame:
+    """Every document's shard: doc_id, size, text_crc32, curve, shard, slot, lang_bin, source_bin, size_bin, group_cut.
 
     docs: doc_id, text, lang, source. size is the text's UTF-8 bytes (null: none) plus 1; shards are runs of
-    the curve with near equal sums of size; slot counts from 0 without gaps in each shard. Equal texts share a
-    shard if together they are at most `whole_group_share` of a shard's size or no larger than the largest
-    document; larger groups are cut document by document. Null texts form one group, apart from empty ones; null languages and sources come
-    first; repeated rows each get a slot; a null doc_id is placed like any other. Fewer documents than shards
-    leave shards empty; an empty table gives no rows; other columns are not read.
+    the curve with near equal sums of size; slot counts from 0 without gaps in each shard. The bins are quantiles, over all
+    rows, of the whole values. A group of equal texts at the border of two shards goes whole to the one that has more of it, if that
+    moves the border by at most `tolerance` of a shard's mean size or by the largest document; other groups over a
+    border are cut document by document, which group_cut tells. Null texts form one group, apart from empty ones; null
+    languages and sources come first; equal values share a bin; very long texts count with their size and may leave shards uneven; repeated rows each
+    get a slot; a null doc_id is placed like any other. Fewer documents than shards leave shards empty; an empty table
+    gives no rows. carry names a column that holds the row's other columns as a struct; else they are not read.
     """
     spark = docs.sparkSession
     ship(spark)
-    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    raw, bins = F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 1 << BITS
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(carry)] if carry else []
     rows = cut(
-        columns(docs, "doc_id", "text", "lang", "source").select(
-            F.col("doc_id").cast("long"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64("text").alias("body"),
-            text_order("lang").alias("lang_order"), text_order("source").alias("source_order"),
-        ).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        docs.select(
+            F.col("doc_id").cast("long"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), wide_hash("text").alias("body"), "lang", "source",
+            F.spark_partition_id().alias("salt"), *carried,
+        )
     )
     key = ["body", "text_crc32", "size"]
-    bins = [k / (1 << BITS) for k in range(1, 1 << BITS)]
-    cuts = rows.agg(*[F.percentile_approx(c, bins, 10_000).alias(c) for c in ("lang_order", "source_order", "size")]).first()
-    bounds = [np.unique(np.array(c or [], np.int64)) for c in cuts]
+    found = rows.agg(F.percentile_approx("size", [k / bins for k in range(1, bins)], 10_000)).first()[0]
+    binned = rows.select(
+        "*", bin_of(F.col("lang"), string_cuts(rows, "lang", bins), bins).alias("lang_bin"), bin_of(F.col("source"), string_cuts(rows, "source", bins), bins).alias("source_bin"),
+        bin_of(F.col("size"), sorted({*(found or [])}), bins).alias("size_bin"),
+    )
 
     @F.pandas_udf("long")
     def curve(lang: pd.Series, source: pd.Series, size: pd.Series) -> pd.Series:
-        at = [np.searchsorted(b, v.to_numpy(), side="left") * (1 << BITS) // (len(b) + 1) for b, v in zip(bounds, (lang, source, size))]
-        return pd.Series(hilbert_index(at, BITS))
+        return pd.Series(hilbert_index([v.to_numpy() for v in (lang, source, size)], BITS))
 
-    salted = rows.groupBy(*key, "salt").agg(F.count(F.lit(1)).alias("n"), F.min("lang_order").alias("lang_order"), F.min("source_order").alias("source_order"))
-    groups = salted.groupBy(*key).agg(F.sum("n").alias("n"), F.min("lang_order").alias("lang_order"), F.min("source_order").alias("source_order"))
-    groups = groups.select(*key, "n", (F.col("n") * F.col("size")).alias("bytes"), curve("lang_order", "source_order", "size").alias("curve"))
+    places = ["lang_bin", "source_bin", "size_bin"]
+    salted = binned.groupBy(*key, "salt").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in places])
+    groups = salted.groupBy(*key).agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in places])
+    groups = groups.select(*key, "n", (F.col("n") * F.col("size")).alias("bytes"), curve(*places).alias("curve"))
     placed = cut(running_totals(groups, ["curve", *key], ["n", "bytes"]))
     total, largest = (x or 1 for x in placed.agg(F.sum("bytes"), F.max("size")).first())
-    whole = max(total * whole_group_share / shards, largest)
+    mean = total / shards
+    end = F.col("before_bytes") + F.col("bytes")
+    border = F.ceil(F.col("before_bytes") / mean) * mean
+    moved = F.least(border - F.col("before_bytes"), end - border)
+    whole = (F.col("bytes") <= largest) | (border >= end) | ((border + mean >= end) & (moved <= max(tolerance * mean, largest)))
+    placed = placed.select("*", (~whole).alias("group_cut"))
 
     before = Window.partitionBy(*key).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    parts = salted.select(*key, "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
-    parts = parts.join(placed, key)
+    parts = salted.select(*key, "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip")).withColumnRenamed("body", "_body")
+    placed = placed.withColumnRenamed("body", "_body")
+    same = lambda a, b: a["body"].eqNullSafe(b["_body"]) if "body" in a.columns else a["_body"].eqNullSafe(b["_body"])
+    joined = parts.join(placed, parts["_body"].eqNullSafe(placed["_body"]) & (parts["text_crc32"] == placed["text_crc32"]) & (parts["size"] == placed["size"]))
+    joined = joined.select(parts["_body"], parts["text_crc32"].alias("_crc"), parts["size"].alias("_size"), parts["salt"].alias("_salt"), "skip", "bytes", "before_n", "before_bytes", "curve", "group_cut")
     inside = F.row_number().over(Window.partitionBy(*key, "salt").orderBy("doc_id")) - 1
-    ranked = rows.withColumn("inside", inside).join(parts, [*key, "salt"]).withColumn("inside", F.col("inside") + F.col("skip"))
-    middle = F.when(F.col("bytes") <= whole, F.col("before_bytes") + F.col("bytes") / 2).otherwise(F.col("before_bytes") + (F.col("inside") + 0.5) * F.col("size"))
+    ranked = binned.withColumn("inside", inside)
+    ranked = ranked.join(joined, same(ranked, joined) & (F.col("text_crc32") == F.col("_crc")) & (F.col("size") == F.col("_size")) & (F.col("salt") == F.col("_salt")))
+    ranked = ranked.withColumn("inside", F.col("inside") + F.col("skip"))
+    middle = F.when(F.col("group_cut"), F.col("before_bytes") + (F.col("inside") + 0.5) * F.col("size")).otherwise(F.col("before_bytes") + F.col("bytes") / 2)
     shard = F.least(F.floor(middle * shards / total), F.lit(shards - 1)).cast("int")
-    done = cut(ranked.select("doc_id", "size", "text_crc32", "curve", shard.alias("shard"), (F.col("before_n") + F.col("inside")).alias("place"), "lang_order", "source_order"))
+    last = [*places, "group_cut", *([carry] if carry else [])]
+    done = cut(ranked.select("doc_id", "size", "text_crc32", "curve", shard.alias("shard"), (F.col("before_n") + F.col("inside")).alias("place"), *last))
     starts = {r.shard: r.first for r in done.groupBy("shard").agg(F.min("place").alias("first")).collect()}
     start = F.create_map(*[F.lit(x) for k in range(shards) for x in (k, starts.get(k, 0))])[F.col("shard")]
-    return done.select("doc_id", "size", "text_crc32", "curve", "shard", (F.col("place") - start).cast("long").alias("slot"), "lang_order", "source_order")
+    return done.select("doc_id", "size", "text_crc32", "curve", "shard", (F.col("place") - start).cast("long").alias("slot"), *last)
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """docs as one folder of Parquet files a shard, in slot order, each file a run of the curve."""
-    joined = docs.join(assigned.select(F.col("doc_id").alias("_id"), "shard", "slot"), docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
+def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
+    """docs, every row once and with all its columns, as a folder of Parquet files a shard, named shard=k; each file is a run of the curve.
+
+    A column of docs that is named shard, in any case, is written as _shard (with more underscores if that is taken too).
+    """
+    placed = hilbert_shards(docs, shards, carry="row")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    run = placed.repartitionByRange(max(n, shards), "shard", "slot").sortWithinPartitions("shard", "slot")
+    names = [fresh(docs, "_shard")[0] if c.lower() == "shard" else c for c in docs.columns]
+    run.select("shard", *[F.col(f"row.`{c}`").alias(n) for c, n in zip(docs.columns, names)]).write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of near equal bytes; see hilbert_shards."""
     placed = hilbert_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), 8)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve", "group_cut")

@@ -149,5 +149,32 @@ def test_shards_odd_tables(spark, tmp_path):
     sizes = check_shards(got, [(r[0], r[1]) for r in rows])
     assert sizes.max() <= 1.2 * sizes.mean()
     assert hilbert_shards.hilbert_shards(df.limit(0)).count() == 0
-    hilbert_shards.write_shards(df.where("doc_id >= 2000").drop("slot"), hilbert_shards.hilbert_shards(df.where("doc_id >= 2000")), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 200
+    hilbert_shards.write_shards(df, str(tmp_path / "out"))
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(repr, written.select(*df.columns).collect())) == sorted(map(repr, df.collect()))
+    clash = df.withColumnRenamed("slot", "Shard").unionByName(df.withColumnRenamed("slot", "Shard"))
+    hilbert_shards.write_shards(clash, str(tmp_path / "again"))
+    again = spark.read.parquet(str(tmp_path / "again"))
+    assert again.count() == 2 * len(rows) and {"shard", "_Shard" if "_Shard" in again.columns else "_shard"} <= set(again.columns)
+
+
+def test_bins_are_quantiles_of_whole_strings(spark, tmp_path):
+    rows = [(k, f"{k:04}" + "t" * (7 * k % 1999), f"language{k % 11}", f"https://common.prefix/site{k % 9}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = hilbert_shards.hilbert_shards(df).toPandas().merge(df.toPandas(), on="doc_id")
+    assert got.groupby("source").source_bin.nunique().max() == 1 and got.source_bin.nunique() == 9 and got.lang_bin.nunique() == 11 and got.size_bin.nunique() > 20
+    assert got.sort_values("source").source_bin.is_monotonic_increasing
+    for axis in ("lang_bin", "source_bin", "size_bin"):  # a reader of one value's rows skips shards by their range
+        ranges = got.groupby("shard")[axis].agg(["min", "max"])
+        read = [((ranges["min"] <= x) & (x <= ranges["max"])).sum() for x in sorted(got[axis].unique())]
+        assert np.mean(read) <= 6, axis
+
+
+def test_groups_are_cut_only_for_size(spark):
+    rows = [(k, f"own text {k} of some length", "en", "s") for k in range(400)] + [(1000 + k, "a copy of some text here", "en", "s") for k in range(40)]
+    hot = [(5000 + k, "the same text again and again", "en", "s") for k in range(400)]
+    for table, cut in ((rows, False), (rows + hot, True)):
+        got = hilbert_shards.hilbert_shards(spark.createDataFrame(table, "doc_id long, text string, lang string, source string")).toPandas()
+        assert got.group_cut.any() == cut and not got[got.doc_id < 1000].group_cut.any()
+        sizes = got.groupby("shard")["size"].sum()
+        assert sizes.max() - sizes.min() <= sizes.mean() / 16 + 2 * got["size"].max()
