@@ -1,6 +1,6 @@
 """BPE encoding and decoding through a minimal acyclic transducer of frequent words.
 
-Words are counted over all texts; the `lexicon_words` most frequent are compiled, in sorted order,
+Words are counted over all texts; the `lexicon_words` most frequent, found by counts of counts, are compiled, in sorted order,
 into a minimal acyclic automaton whose equal suffixes are shared. Every arc carries a number; along
 the arcs of a word they add up to the word's place in the table of id sequences, which is the
 automaton's output. The arcs, sorted by state and byte, lie in one file that Spark ships to the
@@ -22,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, ship
+from .common import Scratch, columns, ship
 from .wordbpe import LibraryWords, WordSplitter, default_vocabulary
 
 FIELDS = ("key", "target", "add", "final", "offset", "ids")
@@ -152,7 +152,7 @@ class Transducer:
 
 
 def frequent_words(docs: DataFrame, vocabulary: str, most: int) -> list[str]:
-    """The most frequent words over all texts (ties by the word), at most `most`."""
+    """The most frequent words over all texts (ties by a hash of the word), at most `most`; the driver gets these and counts of a fixed number."""
 
     def count(batches):
         splitter = WordSplitter(vocabulary)
@@ -173,8 +173,37 @@ def frequent_words(docs: DataFrame, vocabulary: str, most: int) -> list[str]:
         yield flush()
 
     counted = columns(docs, "text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    short = counted.where(F.octet_length("word") <= 64)
-    return [bytes(r.word).decode("utf-8", "surrogateescape") for r in short.orderBy(F.col("n").desc(), "word").limit(most).collect()]
+    work = Scratch(docs.sparkSession, "words")
+    try:
+        words = work.keep(counted.where(F.octet_length("word") <= 64)).select("word", (-F.col("n")).alias("rare"), F.pmod(F.xxhash64("word"), F.lit(1 << 52)).alias("mark"))
+        bound, held = first_values(words, "rare", most)
+        tied = words.where(F.col("rare") == bound)
+        mark, _ = first_values(tied, "mark", most - held)
+        taken = words.where((F.col("rare") < bound) | ((F.col("rare") == bound) & (F.col("mark") < mark))).select("word").collect()
+    finally:
+        work.remove()
+    return [bytes(r.word).decode("utf-8", "surrogateescape") for r in taken]
+
+
+def first_values(rows: DataFrame, value: str, most: int, parts: int = 1024) -> tuple[int, int]:
+    """(bound, n): the largest bound such that the n rows whose integer value is under it are at most `most`; found by counting ever narrower ranges."""
+    low, high = rows.agg(F.min(value), F.max(value)).first()
+    if low is None:
+        return 0, 0
+    held = 0
+    while True:
+        width = (high - low) // parts + 1
+        at = F.floor((F.col(value) - low) / width)
+        counts = {r.at: r.n for r in rows.where(F.col(value).between(low, high)).groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        for k in sorted(counts):
+            if held + counts[k] > most:
+                break
+            held += counts[k]
+        else:
+            return high + 1, held
+        if width == 1:
+            return low + k, held
+        low, high = low + k * width, min(high, low + (k + 1) * width - 1)
 
 
 def publish(spark: SparkSession, words: list[str], vocabulary: str) -> str:

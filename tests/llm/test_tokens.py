@@ -188,3 +188,17 @@ def test_attribution_query_and_odd_texts(spark, odd):
     assert token_attribution.attribute_tokens(odd.limit(0)).count() == 0
     with pytest.raises(ValueError):
         token_attribution.attribute_tokens(odd, rule="none")
+
+
+def test_first_values_and_frequent_words(spark):
+    rnd = random.Random(2)
+    values = [rnd.choice([rnd.randrange(50), rnd.randrange(10**6), -rnd.randrange(2**50)]) for _ in range(800)]
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    for most in (0, 1, 100, 799, 800, 5000):
+        bound, n = lexicon_bpe.first_values(df, "v", most, parts=7)
+        assert n == sum(v < bound for v in values) <= most and (n == len(values) or n + values.count(bound) > most)
+    assert lexicon_bpe.first_values(df.limit(0), "v", 3) == (0, 0)
+    texts = ["many many many many words words words here here now", "many here words", "single ones only once each"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {*lexicon_bpe.frequent_words(df, WORD, 3)} == {"many", "words", "here"}
+    assert len(lexicon_bpe.frequent_words(df, WORD, 6)) == 6 and len(lexicon_bpe.frequent_words(df, WORD, 99)) == 9
