@@ -2,13 +2,12 @@
 
 All labelled texts are counted: how often each n-gram occurs in each language. A language's filter
 takes the n-grams whose rate in it is at least `share` of their highest rate in any language, so that
-stray foreign words, which any large corpus has, do not fill it. The filters of all languages are
-sliced by bit: row r holds, as a mask, the languages whose filter has bit r. An n-gram's languages
-are the AND of its `hashes` rows. A text's hits for each language are counted, corrected by that
-filter's measured rate of false positives, and the largest corrected count decides.
-
-N-grams are hashed to 2**22 features before they are counted; the feature is the n-gram as far as the
-filters know. Model size depends on the number of languages and on nothing else.
+stray foreign words, which any large corpus has, do not fill it, and at least LEAST_RATE, so that no
+filter holds more than 1 / LEAST_RATE n-grams however many a language has. The filters of all
+languages are sliced by bit: row r holds, as a mask, the languages whose filter has bit r. The number of rows
+follows the fullest filter, of which at most three tenths are set. An n-gram's languages are the AND of
+four rows, which its 64-bit hash gives. A text's hits for each language are counted, corrected by that
+filter's rate of false positives, and the largest corrected count decides.
 """
 
 import re
@@ -20,21 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, fresh, ship
+from .common import Scratch, columns, fresh, ship
 
-FEATURES, ROWS = 1 << 22, 1 << 21
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Places of an n-gram's bits: (feature * a + b) mod ROWS, for each pair.
-PLACES = ((2654435761, 97), (40503 * 65537, 7919), (3266489917, 104729), (668265263, 611953))
+#: Rows of an n-gram: low half of its hash + k * (high half | 1) + STEPS[k], modulo the number of rows.
+STEPS = (0, 0, 1, 4)
+LEAST_RATE = 2e-6
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 SIZE = 4
 
 
 def features(text: str | None) -> np.ndarray:
-    """Hashed n-grams of the lower-case letters, every other run taken as one blank, in order."""
+    """64-bit hashes of the n-grams of the lower-case letters, every other run taken as one blank, in order."""
     letters = NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
     if not any(map(str.isalpha, letters)):  # number forms are no letters
-        return np.empty(0, np.uint32)
+        return np.empty(0, np.uint64)
     code = np.frombuffer(f"  {letters}  ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(code) - SIZE + 1
     h = np.zeros(n, np.uint64)
@@ -42,12 +41,19 @@ def features(text: str | None) -> np.ndarray:
         for k in range(SIZE):
             h = (h ^ code[k : k + n]) * MIX
             h ^= h >> np.uint64(29)
-    return (h >> np.uint64(42)).astype(np.uint32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
 
+def places(feature: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Of each n-gram its place in each of the four rows; rows is a power of two."""
+    a, b = feature & np.uint64(0xFFFFFFFF), (feature >> np.uint64(32)) | np.uint64(1)
+    return [((a + np.uint64(k) * b + np.uint64(c)) & np.uint64(rows - 1)).astype(np.int64) for k, c in enumerate(STEPS)]
 
-def places(feature: np.ndarray) -> list[np.ndarray]:
-    f = feature.astype(np.int64)
-    return [(f * a + b) % ROWS for a, b in PLACES]
+
+def rows_for(ngrams: int) -> int:
+    """The least power of two of rows of which so many n-grams set at most three tenths."""
+    return 1 << max(10, int(np.ceil(np.log2(max(ngrams, 1) * len(STEPS) / -np.log(0.7)))))
 
 
 class Filters:
@@ -55,14 +61,14 @@ class Filters:
 
     def __init__(self, languages: list[str], common: int, slices: list[np.ndarray]):
         self.languages, self.common, self.slices = languages, common, slices
-        fill = [[np.mean((s >> np.uint64(k)) & np.uint64(1)) for k in range(64)] for s in slices]
-        # a feature that was not inserted hits when all its rows are set; rows are set independently
-        self.wrong = np.array([fill[j // 64][j % 64] ** len(PLACES) for j in range(len(languages))])
+        fill = [np.mean((slices[j // 64] >> np.uint64(j % 64)) & np.uint64(1)) for j in range(len(languages))]
+        # an n-gram that was not inserted hits when all its rows are set
+        self.wrong = np.array(fill) ** len(STEPS)
 
     def hits(self, feature: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Of each text (its features begin at starts) the hits for each language."""
-        at = places(feature)
         out = np.zeros((len(starts), len(self.languages)))
+        at = places(feature, len(self.slices[0])) if self.slices else []
         for w, rows in enumerate(self.slices):
             mask = rows[at[0]]
             for a in at[1:]:
@@ -100,8 +106,8 @@ def held_out(doc_id) -> F.Column:
 def fit(labelled: DataFrame, *, share: float = 0.25) -> Filters:
     """The filters of all languages from text and lang of every row that has both.
 
-    Counting is spread over the tasks and summed by (language, feature); only the finished slices, at most
-    ROWS masks for each 64 languages, come to the driver.
+    Counting is spread over the tasks and summed by (language, n-gram); only the finished slices, at most
+    rows_for(1 / LEAST_RATE) masks for each 64 languages, come to the driver.
     """
     ship(labelled.sparkSession)
 
@@ -109,14 +115,8 @@ def fit(labelled: DataFrame, *, share: float = 0.25) -> Filters:
         waiting: dict[str, list] = {}
 
         def flush(lang):
-            all_ = np.concatenate(waiting.pop(lang)[1])
-            if len(all_) > 1 << 20:
-                n = np.bincount(all_, minlength=FEATURES)
-                f = np.flatnonzero(n)
-                n = n[f]
-            else:
-                f, n = np.unique(all_, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(f), pa.string()), pa.array(f.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "feature", "n"])
+            f, n = np.unique(np.concatenate(waiting.pop(lang)[1]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(f), pa.string()), pa.array(f.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "feature", "n"])
 
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -124,32 +124,37 @@ def fit(labelled: DataFrame, *, share: float = 0.25) -> Filters:
                     w = waiting.setdefault(lang, [0, []])
                     w[0] += len(f)
                     w[1].append(f)
-                    if w[0] > 1 << 23:
+                    if w[0] > 1 << 22:
                         yield flush(lang)
         for lang in [*waiting]:
             yield flush(lang)
 
-    counts = columns(labelled, "text", "lang").where("text is not null and lang is not null").mapInArrow(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    counts = counts.persist()
+    counts = columns(labelled, "text", "lang").where("text is not null and lang is not null").mapInArrow(count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    work = Scratch(labelled.sparkSession, "ngrams")
     try:
+        counts = work.keep(counts)
         totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
         languages = sorted(totals)
-        slices = [np.zeros(ROWS, np.uint64) for _ in range(-(-len(languages) // 64))]
+        slices = []
         if languages:
             number = F.create_map(*[F.lit(x) for j, lang in enumerate(languages) for x in (lang, j)])
             total = F.create_map(*[F.lit(x) for lang in languages for x in (lang, float(totals[lang]))])
             rated = counts.select("feature", number[F.col("lang")].alias("j"), (F.col("n") / total[F.col("lang")]).alias("rate"))
             kept = rated.groupBy("feature").agg(F.max("rate").alias("top"), F.collect_list(F.struct("j", "rate")).alias("langs")).select(
-                "feature", F.explode(F.filter("langs", lambda x: x["rate"] >= F.col("top") * share)).alias("x")
+                "feature", F.explode(F.filter("langs", lambda x: (x["rate"] >= F.col("top") * share) & (x["rate"] >= LEAST_RATE))).alias("x")
             )
-            row = F.explode(F.array(*[(F.col("feature").cast("long") * a + b) % ROWS for a, b in PLACES]))
-            bits = kept.select(row.alias("row"), F.floor(F.col("x.j") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, x.j % 64)").alias("bit"))
+            kept = work.keep(kept.select("feature", "x.j"))
+            rows = rows_for(kept.groupBy("j").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0)
+            low, high = F.col("feature").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("feature", 32).bitwiseOR(F.lit(1))
+            row = F.explode(F.array(*[(low + k * high + c).bitwiseAND(rows - 1) for k, c in enumerate(STEPS)]))
+            bits = kept.select(row.alias("row"), F.floor(F.col("j") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, j % 64)").alias("bit"))
+            slices = [np.zeros(rows, np.uint64) for _ in range(-(-len(languages) // 64))]
             for r in bits.groupBy("w", "row").agg(F.bit_or("bit").alias("mask")).toArrow().to_batches():
                 w, at, mask = (c.to_numpy(zero_copy_only=False) for c in r.columns)
                 for k in np.unique(w):
                     slices[k][at[w == k]] = mask[w == k].astype(np.uint64)
     finally:
-        counts.unpersist()
+        work.remove()
     common = max(range(len(languages)), key=lambda j: (totals[languages[j]], languages[j])) if languages else 0
     return Filters(languages, common, slices)
 
@@ -159,7 +164,7 @@ def identify(docs: DataFrame, model: Filters, *, undecided: str = "und") -> Data
 
     Only text is an input. Null texts and texts without a letter get `undecided`, score 0. A text none of
     whose n-grams is known gets the language with the most n-grams learned, score 0. If nothing was learned, all
-    get `undecided`. Ties go to the first language in alphabetical order. Every row gives one row; columns named
+    get `undecided`. Texts of any length are read whole. Ties go to the first language in alphabetical order. Every row gives one row; columns named
     lang_pred, score or coverage are replaced.
     """
     spark = docs.sparkSession
