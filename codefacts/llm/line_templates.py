@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, columns, cut, fresh, small, wide_hash
+from .common import Scratch, columns, cut, fresh, small, wide_hash
 from .url_filter import let
 
 FIELD = "<*>"
@@ -41,20 +41,20 @@ def parsed_lines(docs: DataFrame, depth: int) -> DataFrame:
     return masked.select("*", F.xxhash64(n, F.substring_index("masked", " ", depth)).alias("leaf"), wide_hash("masked").alias("sig"), n.alias("n"))
 
 
-def general_templates(lines: DataFrame, sigs: DataFrame, *, depth: int, min_docs: int, alike: float) -> list[DataFrame]:
+def general_templates(lines: DataFrame, sigs: DataFrame, keep, *, depth: int, min_docs: int, alike: float) -> list[DataFrame]:
     """Of each vote (key, sig): the lines of general templates that min_docs distinct texts hold."""
-    leaves = cut(sigs.where(F.col("n") > depth).groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("sigs")).where((F.col("docs") >= min_docs) & (F.col("sigs") > 1)).select("leaf"))
+    leaves = keep(sigs.where(F.col("n") > depth).groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("sigs")).where((F.col("docs") >= min_docs) & (F.col("sigs") > 1)).select("leaf"))
     few = small(leaves)
     # one line of words for each masked line of the leaves that may hold a general template
     worded = lines.select("leaf", "sig", "masked").join(few, "leaf", "left_semi").groupBy("leaf", "sig").agg(F.min("masked").alias("masked"))
     weights = sigs.join(few, "leaf", "left_semi").select("sig", "docs")
-    rest = cut(worded.join(weights, "sig").select(F.col("leaf").alias("part"), "sig", "docs", F.split("masked", " ").alias("words")))
+    rest = keep(worded.join(weights, "sig").select(F.col("leaf").alias("part"), "sig", "docs", "masked"))
     texts, found, first = lines.select("sig", "body"), [], True
     while not rest.isEmpty():
-        seen = cut(voted(rest))
+        seen = keep(voted(rest))
         like = seen.where(F.col("same") >= alike).select("part", "sig")
         hit = texts.join(small(like), "sig")
-        reach = cut(hit.groupBy("part").agg(F.countDistinct("body").alias("texts")).where(F.col("texts") >= min_docs).select("part", F.lit(True).alias("reached")))
+        reach = keep(hit.groupBy("part").agg(F.countDistinct("body").alias("texts")).where(F.col("texts") >= min_docs).select("part", F.lit(True).alias("reached")))
         key = wide_hash(F.concat_ws(":", F.col("part"), F.lit(len(found))))
         reach = small(reach)
         found.append(like.join(reach, "part", "left_semi").select(key.alias("key"), "sig"))
@@ -63,55 +63,60 @@ def general_templates(lines: DataFrame, sigs: DataFrame, *, depth: int, min_docs
             left = left.where(F.col("docs") < min_docs)
         else:
             left = left.withColumn("part", F.when(F.col("reached"), F.col("part")).otherwise(F.xxhash64("part", "word")))
-        left = cut(left.select("part", "sig", "docs", "words"))
+        left = left.select("part", "sig", "docs", "masked")
         may = left.groupBy("part").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("sigs")).where((F.col("docs") >= min_docs) & (F.col("sigs") > 1)).select("part")
-        rest = cut(left.join(may, "part", "left_semi"))
+        rest = keep(left.join(may, "part", "left_semi"))
         if first:
-            texts, first = cut(texts.join(small(cut(rest.select("sig"))), "sig", "left_semi").distinct()), False
+            texts, first = keep(texts.join(small(keep(rest.select("sig"))), "sig", "left_semi").distinct()), False
     return found
 
 
 def voted(rest: DataFrame) -> DataFrame:
-    """rest (part, sig, docs, words) with same, the share of its places that hold their part's most frequent word, and word, that of the place on which the part is best split.
+    """rest (part, sig, docs, masked) with same, the share of its places that hold their part's most frequent word, and word, that of the place on which the part is best split.
 
     That is the place whose most frequent word has the most texts, of the places that differ within the part.
     """
-    counted = rest.select("part", "docs", F.posexplode("words").alias("place", "word")).groupBy("part", "place", "word").agg(F.sum("docs").alias("docs"))
+    counted = rest.select("part", "docs", F.posexplode(F.split("masked", " ")).alias("place", "word")).groupBy("part", "place", "word").agg(F.sum("docs").alias("docs"))
     usual = counted.groupBy("part", "place").agg(F.max(F.struct("docs", "word")).alias("top"), F.count(F.lit(1)).alias("kinds"))
     tops = usual.groupBy("part").agg(
         F.sort_array(F.collect_list(F.struct("place", "top.word"))).alias("tops"), F.max(F.when(F.col("kinds") > 1, F.struct("top.docs", -F.col("place")))).alias("split")
     )
-    alike = F.zip_with("words", "tops", lambda w, t: (w == t["word"]).cast("int"))
-    same = F.aggregate(alike, F.lit(0), lambda n, x: n + x) / F.size("words")
-    return rest.join(tops, "part").select("part", "sig", "docs", "words", same.alias("same"), F.get("words", -F.col("split.col2")).alias("word"))
+    words = F.split("masked", " ")
+    alike = F.zip_with(words, "tops", lambda w, t: (w == t["word"]).cast("int"))
+    same = F.aggregate(alike, F.lit(0), lambda n, x: n + x) / F.size(words)
+    return rest.join(tops, "part").select("part", "sig", "docs", "masked", same.alias("same"), F.get(words, -F.col("split.col2")).alias("word"))
 
 
 def shingles(text: F.Column) -> F.Column:
-    """The distinct hashes of a text's runs of five words, the words as they stand; one run of all words if there are fewer."""
+    """The distinct 32-bit hashes of a text's runs of five words, the words as they stand; one run of all words if there are fewer."""
     words = F.filter(F.split(text, "[ \t\r\n]+"), lambda x: x != "")
-    return let(words, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 5)))))
+    return let(words, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.hash(F.slice(w, i, 5)))))
 
 
-def spread(held: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """(key, first): the keys of held(key, body, chars, need) that `need` texts hold which are no copies of one another, and the first text of each."""
+def spread(held: DataFrame, docs: DataFrame, keep, similarity: float) -> DataFrame:
+    """(key, first): the keys of held(key, body, doc_id, chars, need) that `need` texts hold which are no copies of one another, and the first text of each."""
     size_class = F.least(F.lit(63), F.floor(F.log(F.greatest("chars", F.lit(1))) / F.log(F.lit(1 / similarity)))).cast("int")
     kinds = F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), size_class)))
     found = held.groupBy("key").agg(F.max("need").alias("need"), kinds.alias("kinds"), F.min("body").alias("first"))
-    found = cut(found.withColumn("sure", F.col("kinds") >= 2 * F.col("need") - 1))
+    found = keep(found.withColumn("sure", F.col("kinds") >= 2 * F.col("need") - 1))
     out = [found.where("sure").select("key", "first")]
-    left = cut(held.join(small(found.where("not sure").select("key", "first")), "key"))
+    left = keep(held.join(small(found.where("not sure").select("key", "first")), "key"))
     if left.isEmpty():
         return out[0]
-    bodies = cut(left.select("body").distinct())
-    sets = cut(docs.select(wide_hash("text").alias("body"), "text").join(small(bodies), "body", "left_semi").select("body", shingles(F.col("text")).alias("set")).dropDuplicates(["body"]))
+    # each text's set once, by one of its documents; sets stay where they are, what is joined to them is sent if its size allows
+    one = small(keep(left.groupBy("body").agg(F.min("doc_id").alias("_one"))).withColumnRenamed("body", "_body"))
+    own = docs.select("doc_id", wide_hash("text").alias("body"), "text")
+    sets = keep(own.join(one, (own["body"] == one["_body"]) & own["doc_id"].eqNullSafe(one["_one"]), "left_semi").select("body", shingles(F.col("text")).alias("set")))
     for taken in range(1, left.agg(F.max("need")).first()[0]):
-        next_ = left.groupBy("key").agg(F.min(F.struct("body", "chars")).alias("x")).select("key", F.col("x.body").alias("taken"), F.col("x.chars").alias("taken_chars"))
+        next_ = keep(left.groupBy("key").agg(F.min(F.struct("body", "chars")).alias("x")).select("key", F.col("x.body").alias("taken"), F.col("x.chars").alias("taken_chars")))
         met = left.join(next_, "key").where("body <> taken")
         near = F.least("chars", "taken_chars") / F.greatest("chars", "taken_chars") >= similarity
-        both = met.where(near).select("body", "taken").distinct().join(sets, "body").join(sets.select(F.col("body").alias("taken"), F.col("set").alias("taken_set")), "taken")
+        pairs = small(keep(met.where(near).select("body", "taken").distinct()))
+        leaders = sets.join(small(next_.select(F.col("taken").alias("body")).distinct()), "body", "left_semi").select(F.col("body").alias("taken"), F.col("set").alias("taken_set"))
+        both = sets.join(pairs, "body").join(small(keep(leaders.dropDuplicates(["taken"]))), "taken")
         shared = F.size(F.array_intersect("set", "taken_set"))
-        copies = both.where(shared / (F.size("set") + F.size("taken_set") - shared) >= similarity).select("body", "taken")
-        left = cut(met.join(copies, ["body", "taken"], "left_anti").select(*left.columns))
+        copies = both.where(shared / (F.size("set") + F.size("taken_set") - shared) >= similarity).select("body", "taken").distinct()
+        left = keep(met.join(copies, ["body", "taken"], "left_anti").select(*left.columns))
         out.append(left.where(F.col("need") == taken + 1).select("key", "first").distinct())
         left = left.where(F.col("need") > taken + 1)
         if left.isEmpty():
@@ -119,17 +124,21 @@ def spread(held: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def recurring(docs: DataFrame, lines: DataFrame, *, depth: int, min_docs: int, alike: float, similarity: float, long_words: int) -> DataFrame:
+def recurring(docs: DataFrame, lines: DataFrame, keep, *, depth: int, min_docs: int, alike: float, similarity: float, long_words: int) -> DataFrame:
     """(sig, stays): the masked lines whose template recurs, and the text in which the line stays all the same, else null."""
-    in_text = lines.groupBy("sig", "body").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"))
-    sigs = cut(in_text.groupBy("sig").agg(F.count(F.lit(1)).alias("docs"), F.first("leaf").alias("leaf"), F.first("n").alias("n")))
+    rows = keep(lines.groupBy("sig").agg(F.count(F.lit(1)).alias("docs"), F.min("leaf").alias("leaf"), F.min("n").alias("n")))
+    # only lines that stand in several rows can be in several texts
+    several = rows.where("docs > 1")
+    in_texts = lines.select("sig", "body").join(small(several.select("sig")), "sig", "left_semi").distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("docs"))
+    sigs = rows.where("docs = 1").unionByName(keep(several.drop("docs").join(in_texts, "sig")))
     need = F.when(F.col("docs") >= min_docs, min_docs).when((F.col("n") > long_words) & (F.col("docs") > 1), 2)
     cover = sigs.select(F.col("sig").alias("key"), "sig", need.alias("need")).where("need is not null")
-    for got in general_templates(lines, sigs, depth=depth, min_docs=min_docs, alike=alike):
+    for got in general_templates(lines, sigs, keep, depth=depth, min_docs=min_docs, alike=alike):
         cover = cover.unionByName(got.withColumn("need", F.lit(min_docs)))
-    cover = cut(cover)
-    held = cut(lines.select("sig", "body", "chars").join(small(cover), "sig").select("key", "body", "chars", "need").distinct())
-    found = cover.join(small(cut(spread(held, docs, similarity))), "key").withColumn("stays", F.when(F.col("need") < min_docs, F.col("first")))
+    cover = keep(cover)
+    held = lines.select("sig", "body", "doc_id", "chars").join(small(cover), "sig").groupBy("key", "body")
+    held = keep(held.agg(F.min("doc_id").alias("doc_id"), F.max("chars").alias("chars"), F.max("need").alias("need")))
+    found = cover.join(small(keep(spread(held, docs, keep, similarity))), "key").withColumn("stays", F.when(F.col("need") < min_docs, F.col("first")))
     return found.groupBy("sig").agg(F.when(~F.bool_or(F.col("stays").isNull()), F.min("stays")).alias("stays"))
 
 
@@ -144,14 +153,14 @@ def drop_recurring_lines(docs: DataFrame, *, depth: int = 3, min_docs: int = 5,
     """
     docs = docs.drop("n_lines_dropped")
     narrow = columns(docs, "doc_id", "text").where("text is not null")
-    kept_lines = Stored(parsed_lines(narrow, depth), "lines")
-    lines = kept_lines.rows
-    bad = cut(recurring(narrow, lines, depth=depth, min_docs=min_docs, alike=alike, similarity=similarity, long_words=long_words))
+    work = Scratch(docs.sparkSession, "lines")
+    lines = work.keep(parsed_lines(narrow, depth))
+    bad = work.keep(recurring(narrow, lines, work.keep, depth=depth, min_docs=min_docs, alike=alike, similarity=similarity, long_words=long_words))
     hit = lines.select("doc_id", "body", "k", "sig").join(small(bad), "sig").where("stays is null or stays <> body")
     key, body, drop = fresh(docs, "_id", "_body", "_drop")
     act = cut(hit.groupBy("doc_id", "body").agg(F.collect_set("k").alias("drop")).select(F.col("doc_id").alias(key), F.col("body").alias(body), F.col("drop").alias(drop)))
-    kept_lines.remove()
-    joined = docs.join(small(act), docs["doc_id"].eqNullSafe(act[key]) & (wide_hash(docs["text"]) == act[body]), "left")
+    work.remove()
+    joined = docs.join(small(act, 32), docs["doc_id"].eqNullSafe(act[key]) & (wide_hash(docs["text"]) == act[body]), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: ~F.array_contains(drop, k)), "\n")
     text = F.when(F.col(drop).isNull(), F.col("text")).otherwise(kept)
     return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size(drop), F.lit(0)).alias("n_lines_dropped"))
