@@ -1,13 +1,13 @@
 """Near-duplicate documents by consistent weighted sampling over TF-IDF word shingles.
 
 A text is the weighted set of its five-word shingles. A weight is (1 + ln tf) times a damped inverse
-document frequency between 1 and 1 + DAMP, read from a fixed-size count-min sketch over all documents:
-what a thousandth of the documents or fewer hold counts fully. Improved consistent weighted sampling
+document frequency between 1 and 1 + DAMP, read from a count-min sketch over all distinct texts whose noise
+stays under a NOISE-th of them: what a thousandth of the texts or fewer hold counts fully. Improved consistent weighted sampling
 draws `bands` times `rows` samples, of which two texts agree on each with the probability of their
 weighted Jaccard similarity; equal bands make buckets. In a bucket every text is verified, exactly,
 against the bucket's leader, the member that shares most buckets with other texts. Links join texts
-to components. Members of one leader that are still in different components are then compared with
-one another, block by block: a product of matrices bounds every overlap from above, pairs that the
+to components. Of one leader's members, those outside its largest component are then compared with all
+that are in other components, block by block: a product of matrices bounds every overlap from above, pairs that the
 bound leaves are verified exactly, and only links come out.
 """
 
@@ -21,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, cut, ship
+from .common import columns, cut, ship, small, wide_hash
 from .components import components
 from .wordbpe import Memo
 
 WORD = re.compile(r"[^\W_]+")
 U = np.uint64
-WIDTH_BITS, DEPTH = 19, 2
-DAMP, RARE = 0.25, 1000.0
+DEPTH, FAN_IN = 2, 32
+DAMP, RARE, NOISE = 0.25, 1000.0, 1500.0
 #: Texts in a block when members of one leader are compared with one another.
 BLOCK = 128
 
@@ -61,24 +61,38 @@ class Shingler:
         return np.unique(mix(out), return_counts=True)
 
 
-def cells(keys: np.ndarray) -> list[np.ndarray]:
+def cells(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
-        return [(keys * U(m) >> U(64 - WIDTH_BITS)).astype(np.int64) for m in (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)[:DEPTH]]
+        return [(keys * U(m) >> U(64 - bits)).astype(np.int64) for m in (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)[:DEPTH]]
+
+
+def distinct_texts(hashed: DataFrame) -> DataFrame:
+    """(h, text): each text of hashed(doc_id, text, h) once, from the row of its least doc_id (and as often as that row is repeated). Only hashes are shuffled while the repeated ones are few."""
+    known = hashed.where("h is not null")
+    repeated = known.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("_least")).where("n > 1")
+    repeated = small(cut(repeated.select(F.col("h").alias("_h"), "_least")))
+    return known.join(repeated, known["h"] == repeated["_h"], "left").where(F.col("_h").isNull() | F.col("doc_id").eqNullSafe(F.col("_least"))).select("h", "text")
 
 
 def document_frequencies(docs: DataFrame, words: int = 5) -> tuple[int, np.ndarray]:
-    """(documents, count-min sketch of the number of documents that hold a shingle), over every text.
+    """(texts, count-min sketch of the number of texts that hold a shingle), over every text of docs(text).
 
-    Each task adds up its own sketch; the sums of 64 ranges of cells come to the driver, whatever the input.
+    The sketch is as wide as NOISE times the shingles of a mean text, so that noise stays under a NOISE-th of the texts
+    however many they are (2**23 cells at most). Each task adds up its own sketch; levels of FAN_IN tasks add up the tasks'; the sums of
+    64 ranges of cells come to the driver, whatever the input.
     """
-    parts, size = 64, DEPTH << WIDTH_BITS
+    mean = docs.agg(F.avg(F.length("text"))).first()[0] or 0.0
+    bits = int(np.clip(np.ceil(np.log2(NOISE * (mean / 6 + 1))), 16, 23))
+    parts, size = 64, DEPTH << bits
 
     def run(batches):
-        shingle, counts, n, wait = Shingler(words), np.zeros((DEPTH, 1 << WIDTH_BITS), np.int32), 0, []
+        from pyspark import TaskContext
+
+        shingle, counts, n, wait = Shingler(words), np.zeros((DEPTH, 1 << bits), np.int32), 0, []
 
         def add():
-            for d, at in enumerate(cells(np.concatenate([np.empty(0, U), *wait]))):
-                counts[d] += np.bincount(at, minlength=1 << WIDTH_BITS).astype(np.int32)
+            for d, at in enumerate(cells(np.concatenate([np.empty(0, U), *wait]), bits)):
+                counts[d] += np.bincount(at, minlength=1 << bits).astype(np.int32)
             wait.clear()
 
         held = 0
@@ -90,20 +104,25 @@ def document_frequencies(docs: DataFrame, words: int = 5) -> tuple[int, np.ndarr
                     held = 0
                     add()
         add()
-        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([n] * parts, pa.int64()), pa.array([c.tobytes() for c in counts.reshape(parts, -1)], pa.binary())], names=["part", "n", "counts"])
+        if n:
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([task] * parts, pa.int32()), pa.array([n] * parts, pa.int64()), pa.array([c.tobytes() for c in counts.reshape(parts, -1)], pa.binary())], names=["part", "task", "n", "counts"])
 
     def total(table: pa.Table) -> pa.Table:
         out, n = np.zeros(size // parts, np.int64), 0
         for k, c in zip(table.column("n").to_pylist(), table.column("counts").to_pylist()):
             out, n = out + np.frombuffer(c, np.int32 if len(c) == size // parts * 4 else np.int64), n + k
-        return pa.table({"part": table.column("part").slice(0, 1), "n": pa.array([n], pa.int64()), "counts": pa.array([out.tobytes()], pa.binary())})
-
-    schema = "part int, n long, counts binary"
-    tasks = docs.mapInArrow(run, schema).withColumn("salt", F.spark_partition_id() % 16)
-    once = tasks.groupBy("part", "salt").applyInArrow(total, schema)
+        return pa.table({"part": table.column("part").slice(0, 1), "task": table.column("task").slice(0, 1), "n": pa.array([n], pa.int64()), "counts": pa.array([out.tobytes()], pa.binary())})
+
+    schema = "part int, task int, n long, counts binary"
+    sums = cut(docs.mapInArrow(run, schema))
+    many = (sums.agg(F.max("task")).first()[0] or 0) + 1
+    while many > 1:  # a level: what up to FAN_IN tasks found becomes one
+        sums = sums.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")).groupBy("part", "task").applyInArrow(total, schema)
+        many = -(-many // FAN_IN)
     sketch, documents = np.zeros(size, np.int64).reshape(parts, -1), 0
-    for r in once.groupBy("part").applyInArrow(total, schema).collect():
-        sketch[r.part], documents = np.frombuffer(r.counts, np.int64), r.n
+    for r in sums.collect():
+        sketch[r.part], documents = np.frombuffer(r.counts, np.int32 if len(r.counts) == size // parts * 4 else np.int64), r.n
     return documents, sketch.reshape(DEPTH, -1)
 
 
@@ -113,12 +132,12 @@ class Weights:
     def __init__(self, documents: int, sketch: np.ndarray, words: int = 5):
         top = np.log(max(documents, 1) / np.maximum(sketch, 1)) / np.log(RARE)
         self.idf = (1 + DAMP * np.clip(top, 0, 1)).astype(np.float32)
-        self.shingle = Shingler(words)
+        self.shingle, self.bits = Shingler(words), int(np.log2(sketch.shape[1]))
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         keys, tf = self.shingle(text)
         # the smallest count of a shingle's cells is its largest idf
-        idf = np.max([self.idf[d][at] for d, at in enumerate(cells(keys))], axis=0) if len(keys) else np.empty(0, np.float32)
+        idf = np.max([self.idf[d][at] for d, at in enumerate(cells(keys, self.bits))], axis=0) if len(keys) else np.empty(0, np.float32)
         return keys, ((1 + np.log(tf)) * idf).astype(np.float32)
 
 
@@ -205,7 +224,7 @@ def signatures(docs: DataFrame, weights, bands: int, rows: int, words: int) -> D
                     key = mix(key ^ s[:, j::rows])
                 key = mix(key ^ mix(np.arange(1, bands + 1, dtype=U))[None]).astype(np.int64)
                 flat = pa.ListArray.from_arrays(np.arange(0, key.size + 1, bands, dtype=np.int32), pa.array(key.ravel()))
-                out = pa.RecordBatch.from_arrays([pa.array([h for h, *_ in wait], pa.int64()), flat], names=["h", "buckets"])
+                out = pa.RecordBatch.from_arrays([pa.array([h for h, *_ in wait], pa.binary()), flat], names=["h", "buckets"])
                 wait.clear()
                 return out
 
@@ -221,7 +240,7 @@ def signatures(docs: DataFrame, weights, bands: int, rows: int, words: int) -> D
             if wait:
                 yield flush()
 
-    return docs.mapInArrow(run, "h long, buckets array<long>")
+    return docs.mapInArrow(run, "h binary, buckets array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights, words: int, similarity: float) -> DataFrame:
@@ -230,7 +249,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, words: int, similarity
 
     def run(batches):
         of = Weights(*weights.value, words)
-        held: dict[int, tuple] = {}
+        held: dict[bytes, tuple] = {}
 
         def vector(h, text):
             if h not in held:
@@ -245,7 +264,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, words: int, similarity
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a binary, b binary")
 
 
 def links_in_block(h: list, component: list, left: np.ndarray, right: np.ndarray, vectors: list[tuple], similarity: float) -> list[tuple]:
@@ -270,27 +289,43 @@ def links_in_block(h: list, component: list, left: np.ndarray, right: np.ndarray
     return [(h[left[i]], h[right[j]]) for i, j in zip(*np.nonzero((bound >= needed) & apart)) if weighted_jaccard(vectors[left[i]], vectors[right[j]]) >= similarity]
 
 
-def links_among_members(members: DataFrame, texts: DataFrame, weights, words: int, similarity: float) -> DataFrame:
-    """(a, b) of the alike pairs among members(leader, h, component) of one leader that are in different components.
+def members_in_blocks(members: DataFrame) -> DataFrame:
+    """members(leader, h, component), once for each block they meet: leader, i, j, among, h, component, own.
 
-    A leader's members are dealt into blocks; every two blocks meet in one group of at most twice a block's rows.
+    Only pairs in different components can be links that are still open. So the members outside a leader's largest
+    component, the strays, are dealt into blocks; each meets the other strays' blocks (among: true) and the blocks of the
+    largest component (among: false). With n members the rows grow as n times the blocks of strays, at most BLOCK rows a side.
     """
-    blocks = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leader", "blocks")
-    own = members.join(blocks, "leader").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
-    met = own.select("leader", "h", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("other"))
-    keyed = met.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "h", "component", "own").join(texts, "h")
+    sizes = members.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.groupBy("leader").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    most = most.select("leader", F.col("main.component").alias("main"), blocks(F.col("n") - F.col("main.n")).alias("strays"), blocks(F.col("main.n")).alias("rest"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    own = members.join(most, "leader").withColumn("stray", F.col("component") != F.col("main"))
+    own = own.withColumn("own", F.pmod(F.xxhash64("h"), F.when(F.col("stray"), F.col("strays")).otherwise(F.col("rest"))).cast("int"))
+    meet = lambda i, j, among: F.struct(i.alias("i"), j.alias("j"), F.lit(among).alias("among"))
+    mine = F.col("own")
+    of_stray = F.concat(F.transform(every(F.col("strays")), lambda k: meet(F.least(k, mine), F.greatest(k, mine), True)), F.transform(every(F.col("rest")), lambda k: meet(mine, k, False)))
+    of_main = F.transform(every(F.col("strays")), lambda k: meet(k, mine, False))
+    return own.select("leader", "h", "component", "own", "stray", F.explode(F.when(F.col("stray"), of_stray).otherwise(of_main)).alias("x")).select("leader", "x.*", "h", "component", "own", "stray")
+
+
+def links_among_members(members: DataFrame, texts: DataFrame, weights, words: int, similarity: float) -> DataFrame:
+    """(a, b) of the alike pairs among members(leader, h, component) of one leader that are in different components."""
+    keyed = members_in_blocks(members).join(texts, "h")
 
     def run(key, t):
         of = Weights(*weights.value, words)
-        h, component, side = (t.column(c).to_pylist() for c in ("h", "component", "own"))
+        h, component = (t.column(c).to_pylist() for c in ("h", "component"))
+        own, stray = (np.array(t.column(c).to_pylist()) for c in ("own", "stray"))
         vectors = [of(x) for x in t.column("text").to_pylist()]
-        i, j = key[1].as_py(), key[2].as_py()
-        left, right = (np.flatnonzero(np.array(side) == x) for x in (i, j))
-        got = links_in_block(h, component, left, right, vectors, similarity)
+        i, j, among = (k.as_py() for k in key[1:])
+        left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j)) if among else (np.flatnonzero(stray), np.flatnonzero(~stray))
+        got = links_in_block(h, component, left, right, vectors, similarity) if len(left) and len(right) else []
         a, b = zip(*got) if got else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    found = keyed.groupBy("leader", "i", "j").applyInArrow(run, "a long, b long")
+    found = keyed.groupBy("leader", "i", "j", "among").applyInArrow(run, "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -302,12 +337,13 @@ def near_duplicate_classes(docs: DataFrame, *, similarity: float = 0.8, words: i
     the connected components. kept is true for the row whose doc_id is class_id: one text of each class (and as
     often as that row is repeated). A text of fewer words is one shingle; texts without a word are alike only if equal. A null text
     belongs to no class but its own document's. A null doc_id never names a class that has other ids.
-    An empty table gives no rows; other columns are not read. 64-bit hashes stand for texts.
+    Very long texts are read whole; equal similarities need no order. An empty table gives no rows; other columns are not
+    read. 128-bit hashes stand for texts.
     """
     spark = docs.sparkSession
     ship(spark)
-    hashed = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h")).withColumn("h", F.when(F.col("text").isNotNull(), F.col("h")))
-    texts = hashed.where("h is not null").select("h", "text")
+    hashed = columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", wide_hash("text").alias("h"))
+    texts = distinct_texts(hashed)
     weights = spark.sparkContext.broadcast(document_frequencies(texts.select("text"), words))
 
     signed = cut(signatures(texts, weights, bands, rows, words).dropDuplicates(["h"]))

@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from codefacts.llm import components, language_id, line_templates, near_dedup, url_filter
+from codefacts.llm.common import wide_hash
 from codefacts.llm.queries import QUERIES, SQL
 from tests.conftest import SF, as_rows
 
@@ -35,6 +36,7 @@ URLS = [
     (5, "http://c.com/1", '<meta http-equiv=refresh content="0; URL=/2">'), (6, "http://c.com/2", "<link href=//shop.org/a rel=canonical>"), (7, "http://www.c.com/2?ref=1&utm_s=3", None),
     (7, "http://www.c.com/2?ref=1&utm_s=3", None), (8, "http://e.example.net/en/a", '<link rel=canonical href="http://z.com/">'), (9, "http://z.com", '<link rel=canonical href="http://bad.net/">'),
     (None, "http://x.example.com/de/1", ""), (11, "http://net/", ""), (12, "http://anet/", ""), (13, "http://q.net", None), (14, "a://b\nc.net/d", None), (15, "http://x.org/fr/a", "<link rel=canonical href=>"),
+    (21, "http://www.dup.com/p?utm_a=1", "one body"), (22, "http://dup.com/p", "one body"), (23, "http://m.dup.com/p", "another body"), (24, "http://w.net/1", "<link rel=canonical href='http://dup.com/p'>"),
 ]
 
 
@@ -50,7 +52,7 @@ def test_url_filter_on_odd_pages(spark):
     plain = lambda f: as_rows(f.astype({"page_id": "Int64"}))
     assert plain(got) == plain(want)
     verdict = {r.page_id: r.verdict for r in got.itertuples()}
-    assert [verdict[k] for k in (1, 2, 5, 6, 7, 8, 9, 12, 15)] == ["block"] * 5 + ["allow"] * 4
+    assert [verdict[k] for k in (1, 2, 5, 6, 21, 22, 24)] == ["block"] * 7 and [verdict[k] for k in (7, 8, 9, 12, 15, 23)] == ["allow"] * 6
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
     redirects = spark.createDataFrame([("http://anet/", "http://w.net/a")], "src string, dst string")
     assert {r.page_id: r.verdict for r in url_filter.filter_urls(pages, rules, redirects).collect()}[12] == "block"
@@ -93,8 +95,9 @@ def test_near_duplicates_equal_brute_force(spark):
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, class_id string, h int")
     got = near_dedup.near_duplicate_classes(df).toPandas()
     assert len(got) == len(rows)
-    documents, sketch = near_dedup.document_frequencies(df.where("text is not null").select("text"))
-    assert documents == sum(t is not None for _, t in rows)
+    distinct = near_dedup.distinct_texts(df.select("doc_id", "text", wide_hash("text").alias("h")))
+    documents, sketch = near_dedup.document_frequencies(distinct.select("text"))
+    assert documents == len({t for _, t in rows if t is not None}) + 1  # one row is repeated, id and all
     of = near_dedup.Weights(documents, sketch)
     first, vectors = {}, {}
     for k, t in rows:
@@ -116,6 +119,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_dedup.near_duplicate_classes(df.limit(0)).count() == 0
 
 
+def test_a_stray_meets_its_leaders_members_once(spark):
+    rows = [("L", f"h{k}", "main") for k in range(5000)] + [("L", "stray", "other")] + [("M", f"m{k}", "one") for k in range(300)]
+    rows += [("N", f"n{k}", f"c{k % 3}") for k in range(700)]
+    members = spark.createDataFrame(rows, "leader string, h string, component string")
+    met = near_dedup.members_in_blocks(members).toPandas()
+    assert len(met[met.leader == "L"]) < 3 * 5001 and not len(met[met.leader == "M"])
+    assert met.groupby(["leader", "i", "j", "among"]).size().max() <= 4 * near_dedup.BLOCK
+    pairs = set()
+    for _, g in met[met.leader == "N"].groupby(["i", "j", "among"]):
+        pairs |= {frozenset((a, b)) for (a, x), (b, y) in itertools.combinations(zip(g.h, g.component), 2) if x != y}
+    assert len(pairs) == sum(1 for (_, _, x), (_, _, y) in itertools.combinations(rows[-700:], 2) if x != y)
+
+
 def test_samples_agree_as_weighted_jaccard():
     import numpy as np
 
@@ -157,6 +173,36 @@ def test_bit_slices_hold_every_inserted_ngram(spark):
         assert model.hits(f, np.array([0]))[0, j] == len(f)
 
 
+@pytest.mark.parametrize("n", [20_000, 60_000, 200_000])
+def test_false_positive_rate_is_as_claimed(n):
+    import numpy as np
+
+    rnd = np.random.default_rng(n)
+    grams = rnd.integers(0, 2**64, 2 * n, dtype=np.uint64)
+    for rows in (language_id.rows_for(n), language_id.rows_for(n) // 2):
+        slices = np.zeros(rows, np.uint64)
+        for at in language_id.places(grams[:n], rows):
+            slices[at] = 1
+        model = language_id.Filters(["x"], 0, [slices])
+        measured = model.hits(grams[n:], np.array([0]))[0, 0] / n
+        assert abs(model.wrong[0] / measured - 1) < 0.2
+    assert language_id.rows_for(n) < 32 * n
+
+
+def test_ngrams_of_real_letters_spread_over_the_rows():
+    import numpy as np
+
+    text = " ".join(a + b + c + d for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcd" for d in "efghijklmn")
+    known, other = (np.unique(language_id.features(t)) for t in (text, text.upper().translate({k: k + 1000 for k in range(65, 91)})))
+    other = np.setdiff1d(other, known)
+    rows = language_id.rows_for(len(known))
+    slices = np.zeros(rows, np.uint64)
+    for at in language_id.places(known, rows):
+        slices[at] = 1
+    model = language_id.Filters(["x"], 0, [slices])
+    assert abs(model.hits(other, np.array([0]))[0, 0] / len(other) - model.wrong[0]) < 0.004
+
+
 LINES = [(k, f"Own line {chr(97 + k)}{chr(98 + k)} of this text\nPrinted page {k} of 900\nShared footer of all pages\n  Error at place {'xyzuvwqrst'[k]} in module main of app\n", "en") for k in range(10)]
 
 
