@@ -1,7 +1,7 @@
 """URL filtering with rules by host and path, and decisions that reach a page's aliases.
 
 Pages that redirect or point to one another are one resource: connected components over canonical
-links, refresh redirects, given redirects and the plain forms of a url join them. A url that no rule
+links, refresh redirects, given redirects and urls of one plain form and equal html join them. A url that no rule
 fits takes over its component's decision; an allowed member clears the component, otherwise a
 blocked member blocks it. A url's own rule always stands.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns
+from .common import columns, wide_hash
 from .components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -125,6 +125,14 @@ def page_edges(pages: DataFrame) -> DataFrame:
     return targets.select(node_of(url).alias("src"), dst.alias("dst"))
 
 
+def same_pages(pages: DataFrame) -> DataFrame:
+    """(src, dst) nodes that differ only in what plain_form takes away and whose pages have equal, not empty html: each with the least one."""
+    seen = pages.where("html <> ''").select(node_of(F.col("url")).alias("src"), wide_hash("html").alias("page")).where("src is not null")
+    seen = seen.select("src", plain_form(F.col("src")).alias("plain"), "page")
+    least = seen.groupBy("plain", "page").agg(F.min("src").alias("dst"), F.max("src").alias("last")).where("dst < last").select("plain", "page", "dst")
+    return seen.join(least, ["plain", "page"]).where("src <> dst").select("src", "dst")
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, *, default: str = "allow") -> DataFrame:
     """Each page's verdict: page_id, host, path, rule, verdict, alias_of.
 
@@ -132,7 +140,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
     rule is the longest rule that fits the url itself, else null; verdict its decision, else that of the
     component, else `default`; alias_of is the least node of the url's component (null without host).
     A null url, or one without ://, has empty host and path and gets `default`. Null html has no links.
-    Repeated rows and ids each give their row; an empty table gives none; other columns are not read.
+    Repeated rows and ids each give their row; rules of equal length: the first in order; very long urls and html are read
+    whole; an empty table gives none; other columns are not read.
     """
     pages = columns(pages, "page_id", "url", "html")
     url = F.col("url")
@@ -140,8 +149,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
     edges = page_edges(pages)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst")))
-    nodes = urls.select("node").unionByName(edges.select(F.col("dst").alias("node"))).unionByName(edges.select(F.col("src").alias("node"))).where("node is not null").distinct()
-    joined = components(edges.unionByName(nodes.select(F.col("node").alias("src"), plain_form(F.col("node")).alias("dst"))))
+    joined = components(edges.unionByName(same_pages(pages)))
 
     place = lambda n: (F.regexp_extract(n, r"(?s)^([^/?#]*)", 1).alias("host"), F.regexp_extract(n, r"(?s)^[^/?#]*([^?#]*)", 1).alias("path"))
     at_nodes = joined.select("node", "component", *place(F.col("node")))
@@ -197,10 +205,10 @@ WITH RECURSIVE rules(rule, rule_host, rule_path, decision) AS (
   SELECT url, {_sql_linked("target")} AS target FROM targets WHERE target <> ''
 ), given AS (
   SELECT {_sql_node("url")} AS src, {_sql_node("target")} AS dst FROM linked
-), nodes AS (
-  SELECT node FROM urls WHERE node IS NOT NULL UNION SELECT src FROM given WHERE src IS NOT NULL UNION SELECT dst FROM given WHERE dst IS NOT NULL
+), same AS (
+  SELECT node, min(node) OVER (PARTITION BY {_sql_plain("node")}, html) AS least FROM pages JOIN urls USING (url) WHERE html <> '' AND node IS NOT NULL
 ), edges AS (
-  SELECT src, dst FROM (SELECT src, dst FROM given UNION SELECT node, {_sql_plain("node")} FROM nodes) WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst
+  SELECT src, dst FROM (SELECT src, dst FROM given UNION SELECT node, least FROM same) WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst
 ), both_ways AS (
   SELECT src, dst FROM edges UNION SELECT dst, src FROM edges
 ), reach(node, seen) AS (
