@@ -61,42 +61,60 @@ class SpanEncoder:
         return np.frombuffer(b"".join(found), np.int32).reshape(-1, 2) + np.repeat(starts, counts)[:, None]
 
 
+def pieces(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Disjoint ascending intervals and the section that owns each: a character belongs to the first section that covers it."""
+    if np.all(start < end) and np.all(end[:-1] <= start[1:]):
+        return start, end, np.arange(len(start))
+    marks = np.unique(np.concatenate([start, end]))
+    owner = np.full(max(len(marks) - 1, 0), -1)
+    for k in range(len(start) - 1, -1, -1):
+        if start[k] < end[k]:
+            owner[np.searchsorted(marks, start[k]) : np.searchsorted(marks, end[k])] = k
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.empty(0, np.int64)
+    last = np.append(first[1:], len(owner))
+    held = owner[first] >= 0 if len(first) else np.empty(0, bool)
+    return marks[first[held]], marks[last[held]], owner[first[held]]
+
+
 def allocate(spans: np.ndarray, start: np.ndarray, end: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray, float]:
     """(tokens of each section, boundary-crossing tokens it touches, tokens of no section).
 
-    Sections are disjoint [start, end) in ascending order; gaps between them are allowed.
+    Sections are [start, end) in any order; gaps are allowed; where they overlap, the first one in order has the characters.
     """
     n = np.zeros(len(start))
     crossing = np.zeros(len(start), np.int64)
+    start, end, owner = pieces(start, end)
     if not len(spans) or not len(start):
         return n, crossing, float(len(spans))
     s, e = spans[:, 0], spans[:, 1]
     at = np.searchsorted(end, s, side="right")
     inside = at < len(start)
     inside[inside] = (start[at[inside]] <= s[inside]) & (e[inside] <= end[at[inside]])
-    np.add.at(n, at[inside], 1)
+    np.add.at(n, owner[at[inside]], 1)
     outside = 0.0
     for a, b, j in zip(s[~inside].tolist(), e[~inside].tolist(), at[~inside].tolist()):
-        touched = []
+        touched: dict[int, int] = {}
+        first = []
         while j < len(start) and start[j] < b:
             if (over := min(b, int(end[j])) - max(a, int(start[j]))) > 0:
-                touched.append((over, j))
+                touched[int(owner[j])] = touched.get(int(owner[j]), 0) + over
+                first += [int(owner[j])] if start[j] <= a else []
             j += 1
-        for _, j in touched:
-            crossing[j] += 1
-        left = (b - a) - sum(o for o, _ in touched)
+        left = (b - a) - sum(touched.values())
+        if len(touched) > 1 or left:
+            for j in touched:
+                crossing[j] += 1
         if rule == "share":
-            for over, j in touched:
+            for j, over in touched.items():
                 n[j] += over / (b - a)
             outside += left / (b - a)
         elif rule == "start":
-            first = [j for o, j in touched if start[j] <= a]
             n[first] += 1
             outside += not first
         else:
-            over, j = max(touched, key=lambda x: (x[0], -x[1]), default=(0, -1))
+            over, j = max(((o, -k) for k, o in touched.items()), default=(0, 0))
             if over >= left and over:
-                n[j] += 1
+                n[-j] += 1
             else:
                 outside += 1
     return n, crossing, outside
@@ -105,9 +123,12 @@ def allocate(spans: np.ndarray, start: np.ndarray, end: np.ndarray, rule: str) -
 def attribute_tokens(docs: DataFrame, *, vocabulary: str | None = None, rule: str = "most", sections: str | None = None) -> DataFrame:
     """Tokens of every section: doc_id, section, section_start, section_chars, n_tokens, n_crossing.
 
-    docs: doc_id, text and, if `sections` names it, a column array<struct<start int, end int>> of disjoint character
-    intervals in ascending order; else the sections are the text's lines, each with its line feed. n_tokens is
-    double for the rule "share", else whole. Section -1 stands for tokens of no section and is given if it has any.
+    docs: doc_id, text and, if `sections` names it, a column array<struct<start int, end int>> of character
+    intervals; else, or where it is null, the sections are the text's lines, each with its line feed. Where intervals overlap, the first one in order has
+    the characters. A null entry, one with a null bound and one that ends before it starts are empty sections at 0. Ties under
+    "most" go to the first section, and to a section before none. n_tokens is
+    double for the rule "share", else whole. Section -1 stands for tokens of no section and is given if it has any. Very
+    long texts are encoded whole.
     Null and empty texts have one empty section 0. Repeated rows each give their sections; a null
     doc_id stays null; an empty table gives no rows; other columns are not read.
     """
@@ -140,7 +161,8 @@ def attribute_tokens(docs: DataFrame, *, vocabulary: str | None = None, rule: st
                     end = np.cumsum(sizes)
                     start = end - sizes
                 else:
-                    start, end = (np.array([x[k] for x in given], np.int64) for k in ("start", "end"))
+                    whole = [(x["start"], x["end"]) if x and None not in (x["start"], x["end"]) and x["start"] < x["end"] else (0, 0) for x in given]
+                    start, end = np.array(whole, np.int64).reshape(-1, 2).T
                 n, crossing, outside = allocate(spans, start, end, rule)
                 names = np.arange(len(start))
                 if outside or not len(start):

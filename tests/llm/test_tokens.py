@@ -202,3 +202,45 @@ def test_first_values_and_frequent_words(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     assert {*lexicon_bpe.frequent_words(df, WORD, 3)} == {"many", "words", "here"}
     assert len(lexicon_bpe.frequent_words(df, WORD, 6)) == 6 and len(lexicon_bpe.frequent_words(df, WORD, 99)) == 9
+
+
+def test_spans_agree_over_code_points():
+    encoder = token_attribution.SpanEncoder(BYTE)
+    library = Tokenizer.from_file(BYTE)
+    for c in range(1, 0x3000):
+        if not UNSURE.match(chr(c)):
+            t = f"ab{chr(c)}cd 1{chr(c)}\u0301 A'{chr(c)}re_{chr(c)}{chr(c)}2"
+            assert encoder.spans(t).tolist() == [list(x) for x in library.encode(t, add_special_tokens=False).offsets], hex(c)
+
+
+@pytest.mark.parametrize("rule", ["most", "start", "share"])
+def test_any_sections_equal_brute_force(spark, rule):
+    rnd, rows = random.Random(8), []
+    for k in range(60):
+        text = " ".join(rnd.choice(["token", "boundaries", "unbelievable", "x", "\n"]) for _ in range(12))
+        given = [None if rnd.random() < 0.1 else (rnd.choice([None, 5]) if rnd.random() < 0.1 else (a := rnd.randrange(len(text))), a + rnd.randrange(-3, 25) if (a := rnd.randrange(len(text))) else 4) for _ in range(rnd.randrange(5))]
+        rows.append((k, text, given))
+    df = spark.createDataFrame(rows, "doc_id long, text string, parts array<struct<start int, end int>>")
+    encoder, got = token_attribution.SpanEncoder(BYTE), {}
+    for r in token_attribution.attribute_tokens(df, rule=rule, sections="parts").collect():
+        got[r.doc_id, r.section] = (r.n_tokens, r.n_crossing)
+    for k, text, given in rows:
+        owner = [-1] * (len(text) + 40)
+        for j in reversed(range(len(given))):
+            x = given[j]
+            if x and None not in x and x[0] < x[1]:
+                owner[x[0] : x[1]] = [j] * (x[1] - x[0])
+        want = {j: [0.0, 0] for j in range(-1, len(given))}
+        for a, b in encoder.spans(text).tolist():
+            here = owner[a:b]
+            for j in {*here}:
+                want[j][1] += j >= 0 and len({*here}) > 1
+                if rule == "share":
+                    want[j][0] += here.count(j) / (b - a)
+            if rule == "start":
+                want[here[0]][0] += 1
+            elif rule == "most":
+                want[max({*here}, key=lambda j: (here.count(j), j >= 0, -j))][0] += 1
+        for j, (n, crossing) in want.items():
+            if j >= 0 or n > 1e-9:
+                assert abs(got[k, j][0] - n) < 1e-9 and got[k, j][1] == crossing, (k, j)
