@@ -65,8 +65,9 @@ def plain_letters(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Lower-case terms in order; every character that is no letter or digit separates."""
-    return F.filter(F.split(F.lower(plain_letters(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Lower-case terms in order; every character that is no letter or digit separates, but for combining marks, which are dropped."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), "[\\u0300-\\u036f]", "")
+    return F.filter(F.split(F.lower(plain_letters(bare)), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def cut_bytes(text: Column, most: int) -> Column:

@@ -37,26 +37,32 @@ def fact_terms(facts: DataFrame, columns: tuple[str, ...] = ("symbol", "details"
     return listed.select("fact_id", "x.column", F.posexplode("x.terms").alias("pos", "term"))
 
 
-def having_all(index: DataFrame, wanted: list[str]) -> DataFrame:
-    """Ids with all the terms: one aggregation over the rows that have any."""
-    return index.where(F.col("term").isin(*wanted)).groupBy("fact_id").agg(F.countDistinct("term").alias("n")).where(F.col("n") == len(set(wanted))).select("fact_id")
+def phrase_places(index: DataFrame, words: list[str], *, prefix: bool = False, start: bool = False) -> DataFrame:
+    """(fact_id, column, at): where the terms stand next to one another in one column, in order; with prefix, the last one begins a term; with start, only at a column's start."""
+    last = len(words) - 1
+    fits = lambda k, w: F.col("term").startswith(w) if prefix and k == last else F.col("term") == w
+    parts = [index.where(fits(k, w)).select("fact_id", "column", (F.col("pos") - k).alias("at")) for k, w in enumerate(words)]
+    out = reduce(lambda a, b: a.join(b, ["fact_id", "column", "at"], "left_semi"), parts)
+    return (out.where("at = 0") if start else out).distinct()
 
 
-def having_phrase(index: DataFrame, words: list[str]) -> DataFrame:
-    """Ids with the terms next to one another in one column, in order."""
-    parts = [index.where(F.col("term") == w).select("fact_id", "column", (F.col("pos") - k).alias("at")) for k, w in enumerate(words)]
-    return reduce(lambda a, b: a.join(b, ["fact_id", "column", "at"], "left_semi"), parts).select("fact_id").distinct()
+def near_one_another(phrases: list[tuple[DataFrame, int]], most: int) -> DataFrame:
+    """Ids with all the phrases (places, number of words) in one column, so that from no phrase's end to the last one's start there are more than `most` terms."""
+    tagged = [places.select("fact_id", "column", F.struct(F.lit(k).alias("k"), "at").alias("x")) for k, (places, _) in enumerate(phrases)]
+    held = reduce(DataFrame.unionByName, tagged).groupBy("fact_id", "column").agg(F.collect_list("x").alias("all"))
+    reached = lambda k, n, top: F.exists("all", lambda y: (y["k"] == k) & (y["at"] <= top) & (y["at"] >= top - n - most))
+    every = lambda x: reduce(lambda a, b: a & b, [reached(k, n, x["at"]) for k, (_, n) in enumerate(phrases)])
+    return held.where(F.exists("all", every)).select("fact_id").distinct()
 
 
-def having_prefix(index: DataFrame, prefix: str) -> DataFrame:
-    return index.where(F.col("term").startswith(prefix)).select("fact_id").distinct()
-
-
-TOKEN = re.compile(r'\s*(?:(?P<phrase>"(?:[^"]|"")*")|(?P<open>\()|(?P<close>\))|(?P<column>[A-Za-z_]+)\s*:|(?P<word>[\w\x80-\U0010ffff]+)(?P<star>\*?))')
+TOKEN = re.compile(r'\s*(?:(?P<phrase>"(?:[^"]|"")*")|(?P<sign>[(){}:^+*,-])|(?P<word>[\w\x1a\x80-\U0010ffff]+))')
 
 
 class _Query:
-    """term, "a phrase", prefix*, column:term, AND (or nothing between), OR, NOT, parentheses."""
+    """term, "a phrase", a + b, prefix*, ^start, NEAR(a b, n), column:..., {columns}:..., -column:..., AND (or nothing between), OR, NOT, parentheses.
+
+    From tight to loose: nothing between, NOT, AND, OR.
+    """
 
     def __init__(self, text: str, index: DataFrame, split):
         self.tokens, at = [], 0
@@ -69,53 +75,104 @@ class _Query:
             at = m.end()
         self.index, self.split, self.k = index, split, 0
 
-    def word(self) -> str | None:
-        return self.tokens[self.k]["word"] if self.k < len(self.tokens) else None
+    def sees(self, sign: str, ahead: int = 0) -> bool:
+        k = self.k + ahead
+        return k < len(self.tokens) and sign in (self.tokens[k]["sign"], self.tokens[k]["word"])
+
+    def take(self, sign: str) -> bool:
+        there = self.sees(sign)
+        self.k += there
+        return there
+
+    def need(self, sign: str) -> None:
+        if not self.take(sign):
+            raise ValueError(f"missing {sign}")
 
     def any_of(self) -> DataFrame:
         out = self.all_of()
-        while self.word() == "OR":
-            self.k += 1
+        while self.take("OR"):
             out = out.unionByName(self.all_of()).distinct()
         return out
 
     def all_of(self) -> DataFrame:
         out = self.without()
-        while self.k < len(self.tokens) and self.word() != "OR" and not self.tokens[self.k]["close"]:
-            self.k += self.word() == "AND"
+        while self.take("AND"):
             out = out.join(self.without(), "fact_id", "left_semi")
         return out
 
     def without(self) -> DataFrame:
-        out = self.one()
-        while self.word() == "NOT":
-            self.k += 1
-            out = out.join(self.one(), "fact_id", "left_anti")
+        out = self.side_by_side()
+        while self.take("NOT"):
+            out = out.join(self.side_by_side(), "fact_id", "left_anti")
         return out
 
-    def one(self) -> DataFrame:
+    def side_by_side(self) -> DataFrame:
+        out = self.one()
+        while self.k < len(self.tokens) and not any(self.sees(x) for x in ("AND", "OR", "NOT", ")")):
+            found = self.one()
+            out = found if out is None else out if found is None else out.join(found, "fact_id", "left_semi")
+        return self.index.select("fact_id").limit(0) if out is None else out
+
+    def columns(self) -> list[str] | None:
+        """The names before a colon, if a column filter stands here."""
+        k = self.k + self.sees("-")
+        names, named = [], lambda m: m["word"] or (m["phrase"] or "")[1:-1]
+        if k < len(self.tokens) and self.tokens[k]["sign"] == "{":
+            k += 1
+            while k < len(self.tokens) and named(self.tokens[k]):
+                names.append(named(self.tokens[k]).lower())
+                k += 1
+            if k >= len(self.tokens) or self.tokens[k]["sign"] != "}":
+                raise ValueError("missing }")
+        elif k < len(self.tokens):
+            names = [named(self.tokens[k]).lower()]
+        if not names or k + 1 >= len(self.tokens) or self.tokens[k + 1]["sign"] != ":":
+            return None
+        self.k = k + 2
+        return names
+
+    def one(self) -> DataFrame | None:
         if self.k >= len(self.tokens):
             raise ValueError("the query ends where a term is expected")
-        m, index = self.tokens[self.k], self.index
-        self.k += 1
-        if m["open"]:
-            out = self.any_of()
-            if self.k >= len(self.tokens) or not self.tokens[self.k]["close"]:
-                raise ValueError("missing )")
-            self.k += 1
-            return out
-        if m["column"]:
-            self.index = index.where(F.col("column") == m["column"])
+        index, other = self.index, self.sees("-")
+        if (names := self.columns()) is not None:
+            held = F.lower("column").isin(*names)
+            self.index = index.where(~held if other else held)
             out = self.one()
             self.index = index
             return out
-        words = self.split(m["phrase"][1:-1].replace('""', '"') if m["phrase"] else m["word"] or "")
-        if not words:
-            return index.select("fact_id").limit(0)
-        if m["star"]:
-            found = having_prefix(index, words[-1])
-            return found if len(words) == 1 else having_phrase(index, words[:-1]).join(found, "fact_id", "left_semi")
-        return having_phrase(index, words) if len(words) > 1 else having_all(index, words)
+        if self.take("("):
+            out = self.any_of()
+            self.need(")")
+            return out
+        if self.sees("NEAR") and self.sees("(", 1):
+            self.k += 2
+            phrases, most = [], 10
+            while not self.sees(")") and not self.sees(","):
+                phrases.append(self.phrase())
+            if self.take(","):
+                if self.k >= len(self.tokens) or not (self.tokens[self.k]["word"] or "").isdigit():
+                    raise ValueError("NEAR needs a number")
+                most, self.k = int(self.tokens[self.k]["word"]), self.k + 1
+            self.need(")")
+            phrases = [x for x in phrases if x]
+            return near_one_another(phrases, most) if phrases else None
+        found = self.phrase()
+        return found and found[0].select("fact_id").distinct()
+
+    def phrase(self) -> tuple[DataFrame, int] | None:
+        """(places, number of words) of a phrase; null if it has no word."""
+        start, words, prefix = self.take("^"), [], False
+        while True:
+            m = self.tokens[self.k] if self.k < len(self.tokens) else None
+            if m is None or m["sign"]:
+                raise ValueError("a term is expected" + (f" before {m['sign']}" if m else " at the end"))
+            self.k += 1
+            words += self.split(m["phrase"][1:-1].replace('""', '"') if m["phrase"] else m["word"])
+            prefix = self.take("*")
+            if prefix or not self.take("+"):
+                break
+        return (phrase_places(self.index, words, prefix=prefix, start=start), len(words)) if words else None
 
 
 def matching(index: DataFrame, query: str) -> DataFrame:
@@ -131,6 +188,12 @@ def matching(index: DataFrame, query: str) -> DataFrame:
     return out
 
 
+def latest_runs(runs: DataFrame, pattern: str | None = None) -> DataFrame:
+    """The last run of each file name that is LIKE the pattern (of each, without one): the one of the largest id."""
+    asked = runs if pattern is None else runs.where(F.col("filename").like(pattern))
+    return asked.groupBy("filename").agg(F.max_by(F.struct(*[c for c in runs.columns if c != "filename"]), "id").alias("x")).select("filename", "x.*")
+
+
 def find_similar(facts: DataFrame, runs: DataFrame, query: str, index: DataFrame | None = None, most: int = MOST_FOUND) -> DataFrame:
     """The facts that fit, those of the latest runs first: filename, kind, symbol, details; equal times by run and fact."""
     hits = matching(fact_terms(facts) if index is None else index, query)

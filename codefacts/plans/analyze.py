@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from codefacts.operators.calls import call_findings, ruled_calls
 from codefacts.operators.checks import extra_findings
 from codefacts.operators.suppress import without_marked, without_suppressed
-from codefacts.sources.code import parsed_events, parsed_markers, source_views
+from codefacts.sources.code import TOOL, parsed_events, parsed_markers, source_views
+from codefacts.sources.shipping import ship
 
 KEY = ["file_idx", "path"]
 
@@ -24,6 +25,12 @@ class Analysis:
     findings: DataFrame  # those that are not suppressed
     suppressions: DataFrame
     markers: DataFrame
+    events: DataFrame
+
+    def release(self) -> None:
+        """Drop the cached views and events, once no output is taken any more."""
+        self.views.unpersist()
+        self.events.unpersist()
 
 
 def located(findings: DataFrame, files: DataFrame) -> DataFrame:
@@ -35,14 +42,15 @@ def kept(findings: DataFrame, files: DataFrame, suppressions: DataFrame, markers
     return without_marked(without_suppressed(located(findings, files), suppressions), markers, KEY, order).drop("abs_path")
 
 
-def analyze(files: DataFrame, rules: DataFrame, suppressions: DataFrame, *, compiler: str | None = "clang") -> Analysis:
+def analyze(files: DataFrame, rules: DataFrame, suppressions: DataFrame, *, compiler: str | None = "clang", tool: str = TOOL) -> Analysis:
     """Everything there is to know about the files. Events are parsed once: persist them in the caller's session if several outputs are taken."""
+    ship(files.sparkSession)
     views = source_views(files, compiler).persist()
     events = parsed_events(views).persist()
     calls = ruled_calls(events, rules)
     every = call_findings(calls).unionByName(extra_findings(events))
-    markers = parsed_markers(views)
-    return Analysis(files, views, calls, every, kept(every, files, suppressions, markers), suppressions, markers)
+    markers = parsed_markers(views, tool)
+    return Analysis(files, views, calls, every, kept(every, files, suppressions, markers), suppressions, markers, events)
 
 
 def json_parts(a: Analysis) -> tuple[DataFrame, DataFrame]:

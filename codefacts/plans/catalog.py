@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codefacts.functions.text import glob_regex, has_word, minimal_view, terms
 from codefacts.operators import report, rundb, specs
 from codefacts.operators.checks import repeated_release
-from codefacts.operators.rules import WARNING_PHRASES, WARNING_SECTIONS, category, mentions_any, two_tier
+from codefacts.operators.rules import DANGEROUS, FORMAT, MUST_CHECK, WARNING_PHRASES, WARNING_SECTIONS, category, contract_answer, contract_rules, mentions_any, section_flags, two_tier
 from codefacts.operators.suppress import mark_inline, without_suppressed
+from codefacts.sources.code import user_lines
 from codefacts.sources.pages import without_warnings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,31 +73,49 @@ def q03(spark, d):
     return table(spark, d, "documents").where(mentions_any(F.col("text"), PHRASES)).select("doc_id")
 
 
-@query("q04_format_string", "SELECT doc_id FROM documents WHERE contains(text, '.') AND (contains(text, 'License') OR contains(text, 'http'))")
+@query("q04_format_string", """SELECT doc_id FROM (SELECT doc_id, replace(replace(text, '. ', '... '), 'License', 'format') AS t FROM documents) WHERE contains(t, '...') AND (contains(t, 'format') OR contains(t, 'fmt'))""")
 def q04(spark, d):
-    text = F.col("text")
-    return table(spark, d, "documents").where(text.contains(".") & (text.contains("License") | text.contains("http"))).select("doc_id")
+    content = F.replace(F.replace("text", F.lit(". "), F.lit("... ")), F.lit("License"), F.lit("format"))
+    return table(spark, d, "documents").where(section_flags(F.lit("SYNOPSIS"), content).bitwiseAND(FORMAT) != 0).select("doc_id")
 
 
-@query(
-    "q05_flags",
-    """
-SELECT doc_id, CAST((CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 1 ELSE 0 END)
-  + (CASE WHEN contains(lower(text), 'token') OR contains(lower(text), 'password') OR contains(lower(text), 'license') OR contains(lower(text), 'rights reserved') THEN 2 ELSE 0 END)
-  + (CASE WHEN contains(text, '.') AND (contains(text, 'License') OR contains(text, 'http')) THEN 4 ELSE 0 END) AS INTEGER) AS flags FROM documents""",
-)
+def documented(spark, d):
+    """(functions, sections, aliases): a document is a function; its labels, its text and its text with some words replaced are sections."""
+    docs = table(spark, d, "documents")
+    name = F.concat(F.lit("d"), "doc_id")
+    functions = docs.select(F.col("doc_id").alias("id"), name.alias("name"), F.col("lang").alias("section"))
+    part = lambda df, title, content: df.select(F.col("doc_id").alias("function_id"), F.lit(title).alias("section_name"), content.alias("content"))
+    said = F.replace("text", F.lit("License"), F.lit(WARNING_PHRASES[0].upper()))
+    form = F.replace(F.replace("text", F.lit(". "), F.lit("... ")), F.lit("License"), F.lit("format"))
+    sections = part(table(spark, d, "labels"), "RETURN VALUE", F.lit("")).unionByName(part(docs, WARNING_SECTIONS[0], said)).unionByName(part(docs, "SYNOPSIS", form))
+    return functions, sections, docs.where("lang = 'fr'").select(F.col("doc_id").alias("function_id"), F.concat(F.lit("s"), "source").alias("alias_name"))
+
+
+_LICENSED = "(" + " OR ".join(f"contains(lower(replace(text, 'License', '{WARNING_PHRASES[0]}')), '{p}')" for p in WARNING_PHRASES) + ")"
+_FORMED = "(contains(replace(text, '. ', '... '), '...') AND (contains(replace(text, 'License', 'format'), 'format') OR contains(text, 'fmt')))"
+DOC_FLAGS_SQL = f"""SELECT doc_id, lang, source, (CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 1 ELSE 0 END) + (CASE WHEN {_LICENSED} THEN 2 ELSE 0 END) + (CASE WHEN {_FORMED} THEN 4 ELSE 0 END) AS flags FROM documents"""
+
+
+@query("q05_flags", f"SELECT doc_id, CAST(flags AS INTEGER) AS flags FROM ({DOC_FLAGS_SQL})")
 def q05(spark, d):
-    labelled = table(spark, d, "labels").select("doc_id").distinct().withColumn("labelled", F.lit(1))
-    text = F.col("text")
-    danger = F.when(mentions_any(text, PHRASES), 2).otherwise(0)
-    form = F.when(text.contains(".") & (text.contains("License") | text.contains("http")), 4).otherwise(0)
-    said = table(spark, d, "documents").select("doc_id", danger.bitwiseOR(form).alias("said"))
-    return said.join(labelled, "doc_id", "left").select("doc_id", F.coalesce("labelled", F.lit(0)).bitwiseOR(F.col("said")).alias("flags"))
+    functions, sections, aliases = documented(spark, d)
+    rules = contract_rules(functions, sections, aliases.limit(0))
+    return functions.join(rules, "name", "left").select(F.col("id").alias("doc_id"), F.coalesce("flags", F.lit(0)).alias("flags"))
 
 
-@query("q06_exists", "SELECT doc_id, lang, source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
+@query(
+    "q06_exists",
+    f"""
+WITH f AS ({DOC_FLAGS_SQL}), n AS (SELECT 'd' || doc_id AS name, flags FROM f UNION ALL SELECT 's' || source, flags FROM f WHERE lang = 'fr'),
+r AS (SELECT name, bit_or(flags) AS flags FROM n GROUP BY name)
+SELECT DISTINCT asked.name, b.flag, coalesce(r.flags & b.flag <> 0, false) AS answer FROM (SELECT 's' || source AS name FROM documents UNION SELECT 'unknown') asked
+CROSS JOIN (VALUES (1), (2), (4)) b(flag) LEFT JOIN r ON r.name = asked.name""",
+)
 def q06(spark, d):
-    return table(spark, d, "documents").select("doc_id", "lang", "source").join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    rules = contract_rules(*documented(spark, d))
+    asked = table(spark, d, "documents").select(F.concat(F.lit("s"), "source").alias("name")).unionByName(spark.createDataFrame([("unknown",)], "name string"))
+    answers = [contract_answer(rules, asked, flag).select("name", F.lit(flag).alias("flag"), "answer") for flag in (MUST_CHECK, DANGEROUS, FORMAT)]
+    return answers[0].unionByName(answers[1]).unionByName(answers[2])
 
 
 @query(
@@ -115,10 +134,10 @@ def q07(spark, d):
     return names_of(functions, aliases).join(hit, "id", "left_semi").select("name").distinct()
 
 
-@query("q08_error_count", "SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS error_count FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+@query("q08_error_count", "SELECT c_custkey + 7 AS id, c_name AS filename, CAST(count(o_orderkey) AS INTEGER) AS error_count FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name")
 def q08(spark, d):
-    counts = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
-    return table(spark, d, "customer").select("c_custkey").join(counts, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("error_count"))
+    files = table(spark, d, "customer").select(F.col("c_custkey").alias("file_idx"), F.col("c_name").alias("path"))
+    return rundb.run_rows(files, table(spark, d, "orders").select(F.col("o_custkey").alias("file_idx")), 7).select("id", "filename", "error_count")
 
 
 def event_findings(spark, d):
@@ -169,15 +188,15 @@ def q11(spark, d):
 @query(
     "q12_line_map",
     """
-WITH m AS (SELECT conv_id, turn, role, count(CASE WHEN role = 'user' THEN 1 END) OVER w AS block, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER w AS mark FROM conversations
-  WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
-SELECT conv_id, turn, role, mark, mark + row_number() OVER (PARTITION BY conv_id, block ORDER BY turn, role) - 1 AS number FROM m WHERE mark IS NOT NULL""",
+WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: NOT starts_with(x, '#')) AS own FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, array_to_string(own || own, chr(10)) AS pp_user, array_to_string(range(10, 10 + len(own)) || range(3, 3 + len(own)), ',') AS line_map FROM l WHERE len(own) > 0""",
 )
 def q12(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    is_mark = F.when(F.col("role") == "user", F.col("turn"))
-    m = table(spark, d, "conversations").withColumn("block", F.count(is_mark).over(w)).withColumn("mark", F.last(is_mark, ignorenulls=True).over(w)).where("mark is not null")
-    return m.select("conv_id", "turn", "role", "mark", (F.col("mark") + F.row_number().over(Window.partitionBy("conv_id", "block").orderBy("turn", "role")) - 1).alias("number"))
+    text = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~x.startswith("#")), "\n")
+    pp = F.concat(F.lit('# 1 "other.h"\nnot own\n# 10 "own.c" 1\n'), text, F.lit('\n#line 1 "other.h"\nnot own\n# 3 "own.c"\n#pragma x\n'), text, F.lit('\n# 1 "<built-in>"'))
+    rows = table(spark, d, "documents").where(F.size(F.filter(F.split("text", "\n"), lambda x: ~x.startswith("#"))) > 0)
+    found = user_lines(rows.select("doc_id", F.lit("own.c").alias("abs_path"), pp.alias("pp")), ["doc_id", "abs_path"])
+    return found.select("doc_id", "pp_user", F.array_join("line_map", ",").alias("line_map"))
 
 
 @query(
@@ -224,15 +243,18 @@ a AS (SELECT p_partkey AS function_id, unnest(string_split(p_name, ' ')) AS alia
 asked AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS name, p_type AS section FROM part UNION SELECT p_name, p_type FROM part),
 c AS (SELECT q.name, q.section, 0 AS prio, f.id FROM asked q JOIN f USING (name, section)
   UNION ALL SELECT q.name, q.section, 1, a.function_id FROM asked q JOIN a ON a.alias_name = q.name JOIN f ON f.id = a.function_id AND f.section = q.section)
-SELECT name, section, id FROM (SELECT *, row_number() OVER (PARTITION BY name, section ORDER BY prio, id) AS nth FROM c) WHERE nth = 1""",
+SELECT c.name, c.section, id, p_name AS page_name, p_brand AS proto, '2:' || p_brand || '|1:' || p_name AS sections
+FROM (SELECT *, row_number() OVER (PARTITION BY name, section ORDER BY prio, id) AS nth FROM c) c JOIN part ON p_partkey = id WHERE nth = 1""",
 )
 def q16(spark, d):
     part = table(spark, d, "part")
-    functions = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("section"), *[F.lit(None).cast("string").alias(c) for c in ("short_name", "short_desc", "header", "proto", "man_source", "raw")])
+    functions = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("section"), F.col("p_brand").alias("proto"), *[F.lit(None).cast("string").alias(c) for c in ("short_name", "short_desc", "header", "man_source", "raw")])
     aliases = part.select(F.col("p_partkey").alias("function_id"), F.explode(F.split("p_name", " ")).alias("alias_name"))
     asked = part.select(F.get(F.split("p_name", " "), F.lit(0)).alias("name"), F.col("p_type").alias("section")).unionByName(functions.select("name", "section"))
-    sections = part.select(F.lit(0).alias("ord"), F.col("p_partkey").alias("function_id"), F.col("p_brand").alias("section_name"), F.col("p_brand").alias("content")).limit(0)
-    return specs.lookup(asked, functions, sections, aliases).select("name", "section", "id")
+    listed = F.array(F.struct(F.lit(7).alias("ord"), F.lit("1").alias("section_name"), F.col("p_name").alias("content")), F.struct(F.lit(3).alias("ord"), F.lit("2").alias("section_name"), F.col("p_brand").alias("content")))
+    sections = part.select(F.col("p_partkey").alias("function_id"), F.explode(listed).alias("x")).select("function_id", "x.*")
+    told = F.array_join(F.transform("sections", lambda x: F.concat_ws(":", x["name"], x["content"])), "|")
+    return specs.lookup(asked, functions, sections, aliases).select("name", "section", "id", "page_name", "proto", told.alias("sections"))
 
 
 @query(
@@ -311,10 +333,10 @@ def q23(spark, d):
 
 @query(
     "q24_glob_suppression",
-    f"""
+    r'''
 WITH u AS (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN 'com' WHEN 1 THEN 'net' WHEN 2 THEN 'any' ELSE 'one' END AS category FROM pages),
-r(category, regex) AS (VALUES {", ".join(f"('{c}', '{glob_regex(g)}')" for g, c in GLOBS)})
-SELECT page_id, category FROM u WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.category = u.category AND regexp_matches(u.url, r.regex))""",
+r(category, regex) AS (VALUES ('com', '^[^/]*://[^/]*[.]example[.]com/[^/]*$'), ('net', '^http://[^/]*[.]example[.]net/en/[0-9][^/]*$'), ('any', '^https://www[.][^/]*$'), ('one', '^[^/]*://[^/][.][^/]*/[^/][^/]/[^/]*$'))
+SELECT page_id, category FROM u WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.category = u.category AND regexp_matches(u.url, r.regex))''',
 )
 def q24(spark, d):
     rules = spark.createDataFrame([(g, c, True, glob_regex(g)) for g, c in GLOBS], "path string, category string, is_glob boolean, regex string")
@@ -323,16 +345,23 @@ def q24(spark, d):
     return without_suppressed(rows, rules, "url").select("page_id", "category")
 
 
-@query("q25_latest_runs", "SELECT o_orderkey, CAST(o_orderdate AS VARCHAR) AS day, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 32")
+@query(
+    "q25_latest_runs",
+    """
+SELECT 'f' || o_custkey AS filename, o_orderstatus AS kind, o_orderpriority AS symbol, 'total ' || CAST(floor(o_totalprice) AS BIGINT) AS details
+FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 32""",
+)
 def q25(spark, d):
-    return table(spark, d, "orders").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).limit(32).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("day"), "o_totalprice")
+    o = table(spark, d, "orders")
+    details = F.concat(F.lit("total "), F.floor("o_totalprice").cast("string"))
+    facts = o.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("kind"), F.col("o_orderpriority").alias("symbol"), details.alias("details"))
+    return rundb.find_similar(facts, o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("f"), "o_custkey").alias("filename"), F.col("o_orderdate").alias("ts")), "symbol:urgent NOT medium")
 
 
-@query("q26_ad_hoc", "SELECT concat_ws('|', r_name, n_name) AS place, (SELECT max(o_totalprice) FROM orders) AS top FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE')")
+@query("q26_ad_hoc", "SELECT 'f' || o_custkey AS filename, max(o_orderkey) AS id, arg_max(o_totalprice, o_orderkey) AS total FROM orders WHERE CAST(o_custkey AS VARCHAR) LIKE '%7%' GROUP BY o_custkey")
 def q26(spark, d):
-    top = table(spark, d, "orders").agg(F.max("o_totalprice").alias("top"))  # one row
-    joined = table(spark, d, "nation").join(table(spark, d, "region").where(F.col("r_name").isin("ASIA", "EUROPE")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return joined.crossJoin(F.broadcast(top)).select(F.concat_ws("|", "r_name", "n_name").alias("place"), "top")
+    runs = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("f"), "o_custkey").alias("filename"), F.col("o_totalprice").alias("total"))
+    return rundb.latest_runs(runs, "%7%")
 
 
 @query("q27_whole_word", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9_])of([^A-Za-z0-9_]|$)')")
@@ -354,34 +383,50 @@ def q28(spark, d):
 @query(
     "q29_nested_json",
     """
-SELECT o_orderkey, CAST(to_json({'orderkey': o_orderkey, 'lines': coalesce(lines, []), 'count': CAST(coalesce(len(lines), 0) AS BIGINT)}) AS VARCHAR) AS json
-FROM orders LEFT JOIN (SELECT l_orderkey, list({'partkey': l_partkey, 'flag': l_returnflag} ORDER BY l_linenumber, l_partkey, l_returnflag) AS lines FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""",
+WITH l AS (SELECT l_orderkey, list({'function': l_returnflag, 'status': l_linestatus, 'category': 'c' || l_suppkey, 'line': l_linenumber, 'column': l_partkey} ORDER BY l_linenumber, l_returnflag, l_linestatus, 'c' || l_suppkey, l_partkey) AS calls,
+  count(*) FILTER (l_quantity > 25) AS n FROM lineitem WHERE l_discount > 0.03 GROUP BY l_orderkey),
+e AS (SELECT l_orderkey, list({'category': l_linestatus, 'symbol': l_returnflag, 'message': 'm' || l_partkey, 'line': l_linenumber, 'column': l_suppkey} ORDER BY l_linenumber, l_linestatus, l_returnflag, 'm' || l_partkey, l_suppkey) AS diagnostics, count(*) AS n
+  FROM lineitem WHERE l_discount <= 0.03 GROUP BY l_orderkey)
+SELECT o_orderkey AS file_idx, CAST(to_json({'path': 'o' || o_orderkey, 'calls': coalesce(calls, []), 'diagnostics': coalesce(diagnostics, []), 'issue_count': coalesce(l.n, 0) + coalesce(e.n, 0)}) AS VARCHAR) AS json
+FROM orders LEFT JOIN l ON l.l_orderkey = o_orderkey LEFT JOIN e ON e.l_orderkey = o_orderkey""",
 )
 def q29(spark, d):
-    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag")))
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(rows, lambda x: F.struct(x["l_partkey"].alias("partkey"), x["l_returnflag"].alias("flag"))).alias("lines"))
-    joined = table(spark, d, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    none = F.array().cast("array<struct<partkey:bigint,flag:string>>")
-    body = F.struct(F.col("o_orderkey").alias("orderkey"), F.coalesce("lines", none).alias("lines"), F.coalesce(F.size("lines").cast("long"), F.lit(0)).alias("count"))
-    return joined.select("o_orderkey", F.to_json(body).alias("json"))
+    files = table(spark, d, "orders").select(F.col("o_orderkey").alias("file_idx"), F.concat(F.lit("o"), "o_orderkey").alias("path"))
+    l, at = table(spark, d, "lineitem"), [F.col("l_orderkey").alias("file_idx"), F.col("l_linenumber").alias("seq"), F.col("l_linenumber").alias("line")]
+    calls = l.where("l_discount > 0.03").select(*at, F.col("l_returnflag").alias("function"), F.col("l_linestatus").alias("status"), F.concat(F.lit("c"), "l_suppkey").alias("category"), F.col("l_partkey").alias("column"), (F.col("l_quantity") > 25).alias("is_issue"))
+    extra = l.where("l_discount <= 0.03").select(*at, F.col("l_linestatus").alias("category"), F.col("l_returnflag").alias("symbol"), F.concat(F.lit("m"), "l_partkey").alias("message"), F.col("l_suppkey").alias("column"))
+    return report.json_files(files, calls, extra)
 
 
-@query("q30_exit_status", "SELECT quality, CAST(bool_or(toxic = 1) AS INTEGER) AS status, count(*) AS n FROM labels GROUP BY quality")
+@query(
+    "q30_exit_status",
+    """
+WITH n AS (SELECT quality, sum(CASE WHEN toxic = 1 AND quality = 1 THEN 1 ELSE 0 END) AS issues FROM labels GROUP BY quality),
+m(mode, fails, told) AS (VALUES ('plain', false, false), ('warn', false, true), ('gcc', false, true), ('json', false, false), ('sarif', false, true), ('failed', true, false))
+SELECT quality, mode, CAST(CASE WHEN fails OR (told AND issues > 0) THEN 1 ELSE 0 END AS INTEGER) AS status FROM n CROSS JOIN m""",
+)
 def q30(spark, d):
-    return table(spark, d, "labels").groupBy("quality").agg(F.bool_or(F.col("toxic") == 1).cast("int").alias("status"), F.count(F.lit(1)).alias("n"))
+    counts = table(spark, d, "labels").groupBy("quality").agg(F.sum(((F.col("toxic") == 1) & (F.col("quality") == 1)).cast("int")).alias("n")).collect()  # a row a quality
+    given = lambda mode: {"warn_exit": mode == "warn", "gcc": mode == "gcc", "sarif": mode == "sarif", "as_json": mode == "json"}
+    rows = [(r.quality, m, report.exit_status(m == "failed", r.n, **given(m))) for r in counts for m in ("plain", "warn", "gcc", "json", "sarif", "failed")]
+    return spark.createDataFrame(rows, "quality long, mode string, status int")
 
 
 @query(
     "q31_contract_flags",
-    rf"""
-WITH l AS (SELECT conv_id, role AS section_name, text AS content FROM conversations),
-f AS (SELECT conv_id, bit_or((CASE WHEN section_name ILIKE '%USER%' THEN 1 ELSE 0 END) | (CASE WHEN contains(lower(content), 'token') OR contains(lower(content), 'password') THEN 2 ELSE 0 END)) AS flags FROM l GROUP BY conv_id)
-SELECT conv_id, CAST(flags AS INTEGER) AS flags FROM f WHERE flags <> 0""",
+    f"""
+WITH l AS (SELECT conv_id, role, replace(lower(text), 'the', '{WARNING_PHRASES[-1]}') AS t FROM conversations),
+f AS (SELECT conv_id, bit_or((CASE WHEN role = 'user' THEN 1 ELSE 0 END) | (CASE WHEN role <> 'user' AND ({" OR ".join(f"contains(t, '{p}')" for p in WARNING_PHRASES)}) THEN 2 ELSE 0 END)) AS flags FROM l GROUP BY conv_id),
+n AS (SELECT 'c' || conv_id AS name, flags FROM f UNION ALL SELECT 'a' || (conv_id % 10), flags FROM f)
+SELECT name, CAST(bit_or(flags) AS INTEGER) AS flags FROM n WHERE flags <> 0 GROUP BY name""",
 )
 def q31(spark, d):
-    must = F.when(F.col("role").ilike("%USER%"), 1).otherwise(0)
-    danger = F.when(mentions_any(F.col("text"), ("token", "password")), 2).otherwise(0)
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.bit_or(must.bitwiseOR(danger)).alias("flags")).where("flags <> 0")
+    c = table(spark, d, "conversations")
+    title = F.when(F.col("role") == "user", "The RETURN VALUE").otherwise(WARNING_SECTIONS[-1])
+    sections = c.select(F.col("conv_id").alias("function_id"), title.alias("section_name"), F.replace(F.lower("text"), F.lit("the"), F.lit(WARNING_PHRASES[-1])).alias("content"))
+    ids = c.select(F.col("conv_id").alias("id")).distinct()
+    aliases = ids.select(F.col("id").alias("function_id"), F.concat(F.lit("a"), F.col("id") % 10).alias("alias_name"))
+    return contract_rules(ids.withColumn("name", F.concat(F.lit("c"), "id")), sections, aliases)
 
 
 @query("q32_fact_counts", "SELECT event_type AS kind, count(*) AS n, count(DISTINCT user_id) AS runs FROM events WHERE props ILIKE '%K%' GROUP BY event_type")
@@ -400,3 +445,64 @@ def q33(spark, d):
     said = F.when(F.col("event_type").isin("error", "view"), F.concat(F.lit("warning: "), F.col("props"))).otherwise(F.col("props"))
     rows = e.select(F.col("user_id").alias("file_idx"), F.col("event_id").alias("seq"), F.concat(F.lit("u"), F.col("user_id")).alias("path"), F.floor("value").cast("int").alias("line"), F.length("event_type").alias("column"), F.col("event_type").alias("symbol"), said.alias("message"), (F.col("event_type") == "error").alias("issue_format"))
     return report.text_lines(rows)
+
+
+def event_rows(spark, d):
+    """Findings of the shape of the analysis, from events."""
+    e = table(spark, d, "events")
+    place = [F.col("user_id").alias("file_idx"), F.concat(F.lit("u"), "user_id").alias("path"), F.col("event_id").alias("seq"), F.floor("value").cast("int").alias("line"), F.length("event_type").alias("column")]
+    return e.select(*place, F.col("event_type").alias("symbol"), F.col("event_type").alias("category"), F.lit("k").alias("kind"), F.col("props").alias("message"), (F.col("event_type") == "error").alias("issue_format"))
+
+
+@query(
+    "q34_compiler_report",
+    """
+SELECT user_id AS file_idx, event_id AS seq, 'u' || user_id || ':' || CAST(floor(value) AS INTEGER) || ':' || length(event_type) || ': warning: ' || (CASE WHEN event_type = 'error' THEN 'ignored return of error(): ' ELSE '' END) || props AS line_text FROM events""",
+)
+def q34(spark, d):
+    return report.text_lines(event_rows(spark, d), gcc=True)
+
+
+@query(
+    "q35_sarif",
+    """
+SELECT user_id AS file_idx, event_id AS seq, CAST(to_json({'ruleId': event_type, 'level': 'warning', 'message': {'text': props},
+  'locations': [{'physicalLocation': {'artifactLocation': {'uri': 'u' || user_id}, 'region': {'startLine': CAST(floor(value) AS INTEGER), 'startColumn': length(event_type)}}}]}) AS VARCHAR) AS json FROM events""",
+)
+def q35(spark, d):
+    return report.sarif_results(event_rows(spark, d))
+
+
+@query(
+    "q36_fact_rows",
+    """
+SELECT user_id + 1 AS run_id, 'k' AS kind, event_type AS symbol, CAST(floor(value) AS INTEGER) AS line, 'col ' || length(event_type) || ': ' || props AS details FROM events""",
+)
+def q36(spark, d):
+    rows = event_rows(spark, d)
+    runs = rundb.run_rows(rows.select("file_idx", "path").distinct(), rows)
+    return rundb.fact_rows(rows, runs).select("run_id", "kind", "symbol", "line", "details")
+
+
+@query(
+    "q37_cascade",
+    """
+WITH gone AS (SELECT doc_id FROM labels WHERE toxic = 1), left_ AS (SELECT * FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM gone))
+SELECT 'function' AS kind, count(*) AS n FROM left_ UNION ALL SELECT 'section', 2 * (SELECT count(*) FROM left_) + (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM gone))
+UNION ALL SELECT 'alias', (SELECT count(*) FROM left_ WHERE lang = 'fr')""",
+)
+def q37(spark, d):
+    left = specs.delete_pages(documented(spark, d), table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")))
+    counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k, t in zip(("function", "section", "alias"), left)]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("q38_views_dump", """SELECT page_id AS file_idx, CAST(to_json({'path': url, 'raw': url, 'min': url, 'pp_user': NULL}) AS VARCHAR) AS json FROM pages""")
+def q38(spark, d):
+    u = F.col("url")
+    return report.view_lines(table(spark, d, "pages").select(F.col("page_id").alias("file_idx"), u.alias("path"), u.alias("raw"), u.alias("min"), F.lit(None).cast("string").alias("pp_user")))
+
+
+@query("q39_search_near", f"WITH t AS ({TERMS_SQL}) SELECT DISTINCT a.doc_id FROM t a JOIN t b ON a.doc_id = b.doc_id AND abs(b.pos - a.pos) <= 4 WHERE a.term = 'license' AND b.term = 'the'")
+def q39(spark, d):
+    return rundb.matching(doc_index(spark, d), "NEAR(license the, 3)").withColumnRenamed("fact_id", "doc_id")

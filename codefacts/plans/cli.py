@@ -16,7 +16,7 @@ from codefacts.operators.rules import contract_rules, rules
 from codefacts.plans.analyze import analyze, json_parts
 from codefacts.schemas import FINDINGS
 from codefacts.sources import pages, stores
-from codefacts.sources.code import listed_files
+from codefacts.sources.code import TOOL, folder_files, listed_files
 from codefacts.sources.compdb import compile_database, with_compile_entry
 from codefacts.sources.suppressions import suppress_rules
 
@@ -50,6 +50,8 @@ def analyzer_options() -> argparse.ArgumentParser:
     p.add_argument("--compile-commands", "--compdb", dest="compdb", help="compile database")
     p.add_argument("--dump-views", help="file for all views, one JSON object a line")
     p.add_argument("--suppressions", help="file of suppression rules")
+    p.add_argument("--folder", help="all sources below a folder of any file system, read by the executors, instead of files")
+    p.add_argument("--marker-name", default=TOOL, help="the name that NOLINT(...) must have")
     return p
 
 
@@ -59,8 +61,10 @@ def run_analyzer(argv: list[str]) -> int:
     except SystemExit as stop:
         return int(stop.code or 0)
     fail = lambda text: print(text, file=sys.stderr) or 1
-    if not o.files:
+    if not o.files and not o.folder:
         return fail("no files")
+    if o.files and o.folder:
+        return fail("files and --folder exclude one another")
     if o.json and o.sarif:
         return fail("--json and --sarif exclude one another")
     if o.suppressions and not os.access(o.suppressions, os.R_OK):
@@ -72,7 +76,7 @@ def run_analyzer(argv: list[str]) -> int:
             contracts = contract_rules(*(stores.read_table(spark, o.contracts, t) for t in ("functions", "function_sections", "function_aliases")))
         except Exception as e:  # a store that can't be opened costs its rules, not the run
             print(f"warning: no contract store: {e}", file=sys.stderr)
-    files = listed_files(spark, o.files)
+    files = folder_files(spark, o.folder) if o.folder else listed_files(spark, o.files)
     if o.compdb:
         try:
             database = compile_database(spark, o.compdb)
@@ -83,7 +87,7 @@ def run_analyzer(argv: list[str]) -> int:
         if shutil.which(COMPILER) is None and files.where("in_database").count():
             return fail(f"no preprocessed text for files of {o.compdb}: {COMPILER} is not there")
     try:
-        a = analyze(files, rules(spark, contracts), suppress_rules(spark, o.suppressions))
+        a = analyze(files, rules(spark, contracts), suppress_rules(spark, o.suppressions), tool=o.marker_name)
         if o.dump_views:
             with open(o.dump_views, "w", encoding="utf-8") as f:
                 f.writelines(r.json + "\n" for r in report.view_lines(a.views).orderBy("file_idx").toLocalIterator())
@@ -133,8 +137,8 @@ def write_runs(spark: SparkSession, files, findings, store: str, counts: dict |
     last = stores.read_table(spark, store, "runs").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     runs = rundb.run_rows(files, findings, int(last) + 1).persist()
     if counts is not None:
-        told = F.coalesce(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("filename")], F.lit(0)).cast("int") if counts else F.lit(0)
-        runs = runs.withColumn("error_count", told)
+        told = spark.createDataFrame([*counts.items()], "filename string, told int")
+        runs = runs.join(told, "filename", "left").withColumn("error_count", F.coalesce("told", F.lit(0))).select(runs.columns)
     else:
         facts = rundb.fact_rows(findings, runs).persist()
         stores.append(facts, store, "facts")
@@ -161,8 +165,13 @@ def run_builder(argv: list[str]) -> int:
 
 def build_store(spark: SparkSession, found, store: str) -> int:
     names = ("functions", "function_sections", "function_aliases")
-    after = specs.upsert(tuple(stores.read_table(spark, store, n) for n in names), specs.parse_pages(found.persist()))
+    read = found.where("raw <> ''").persist()
+    if read.isEmpty():
+        print("no page has any text; the store stays as it is", file=sys.stderr)
+        return 1
+    after = specs.upsert(tuple(stores.read_table(spark, store, n) for n in names), specs.parse_pages(read))
     stores.swap(dict(zip(names, after)), store)
+    read.unpersist()
     return 0
 
 

@@ -16,8 +16,8 @@ from codefacts.functions.text import minimal_view
 from codefacts.schemas import C_FILES, EVENTS, MARKERS
 from codefacts.sources.compdb import preprocessor_flags, shell_words
 
-#: mc:ignore, or NOLINT with a tool's name of lower-case letters (check lists of other linters have hyphens or more).
-MARKER = re.compile(r"//[ \t]*(?:mc:ignore|NOLINT\([a-z]+\))")
+#: The tool whose name in NOLINT(...) counts.
+TOOL = "codefacts"
 STANDARD = "-std=c11"
 
 
@@ -94,11 +94,11 @@ def source_views(files: DataFrame, compiler: str | None = "clang") -> DataFrame:
     return base.join(user.drop("abs_path"), "file_idx", "left")
 
 
-def source_markers(text: str) -> list[tuple[int, str]]:
-    """(line, kind) of each line comment that starts with a marker: 'next' if only blanks stand before it, else 'same'."""
-    out = []
+def source_markers(text: str, tool: str = TOOL) -> list[tuple[int, str]]:
+    """(line, kind) of each line comment that starts with a marker, mc:ignore or NOLINT(tool): 'next' if only blanks stand before it, else 'same'."""
+    out, marker = [], re.compile(rf"//[ \t]*(?:mc:ignore|NOLINT\({re.escape(tool)}\))")
     for m in TOKEN.finditer(text):
-        if m.lastgroup == "comment" and MARKER.match(m.group()):
+        if m.lastgroup == "comment" and marker.match(m.group()):
             start = text.rfind("\n", 0, m.start()) + 1
             out.append((text.count("\n", 0, m.start()) + 1, "next" if not text[start : m.start()].strip(" \t") else "same"))
     return out
@@ -121,12 +121,12 @@ def parsed_events(views: DataFrame) -> DataFrame:
     return chosen.mapInPandas(run, EVENTS)
 
 
-def parsed_markers(views: DataFrame) -> DataFrame:
-    """The markers of every file, from its raw text."""
+def parsed_markers(views: DataFrame, tool: str = TOOL) -> DataFrame:
+    """The markers of every file, from its raw text; in NOLINT(...) only the tool's name counts."""
 
     def run(batches):
         for rows in batches:
-            out = [(r.file_idx, r.path, line, kind) for r in rows.itertuples(index=False) for line, kind in source_markers(r.raw or "")]
+            out = [(r.file_idx, r.path, line, kind) for r in rows.itertuples(index=False) for line, kind in source_markers(r.raw or "", tool)]
             yield pd.DataFrame(out, columns=["file_idx", "path", "line", "kind"])
 
     return views.select("file_idx", "path", "raw").mapInPandas(run, MARKERS)

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codefacts.schemas import COMPILE_COMMANDS
 
@@ -70,9 +71,11 @@ def compile_database(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in COMPILE_COMMANDS.split(', '))}>>", {"mode": "FAILFAST"}).alias("entries"))
     entries = raw.select(F.posexplode("entries").alias("entry", "e")).select("entry", "e.*")
     home = os.path.dirname(os.path.abspath(path.removeprefix("file://")))
-    where = F.udf(lambda d: resolved(home, d) if d else home)
-    at = F.udf(lambda d, f: resolved(d, f) if f else None)
-    out = entries.withColumn("directory", where("directory")).withColumn("resolved_file", at("directory", "file"))
+    rows = []  # one file on the driver's disk, whose paths only the driver can resolve
+    for r in entries.collect():
+        folder = resolved(home, r.directory) if r.directory else home
+        rows.append((*r[: entries.columns.index("directory")], folder, *r[entries.columns.index("directory") + 1 :], resolved(folder, r.file) if r.file else None))
+    out = spark.createDataFrame(rows, T.StructType([*entries.schema.fields, T.StructField("resolved_file", T.StringType())]))
     return out.withColumn("command", F.when(F.col("command").isNull() & (F.size("arguments") > 0), quoted(F.col("arguments"))).otherwise(F.col("command")))
 
 

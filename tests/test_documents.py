@@ -9,6 +9,7 @@ from codefacts.functions.text import glob_regex, terms
 from codefacts.operators import specs
 from codefacts.operators.rules import DANGEROUS, FORMAT, MUST_CHECK, contract_answer, contract_rules, rules
 from codefacts.sources import code, compdb, pages, stores
+from codefacts.operators import rundb
 
 PAGE = """PAGE(2)
 NAME
@@ -130,3 +131,51 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     assert [r.symbol for r in spark.read.parquet(str(tmp_path / "out/facts")).collect()] == ["close"]
     assert [r.error_count for r in spark.read.parquet(str(tmp_path / "out/runs")).collect()] == [1]
+
+
+def test_search_equals_a_full_text_engine(spark):
+    import random
+    import sqlite3
+
+    rnd, words = random.Random(5), ["a", "b", "c", "ab", "n"]
+    rows = [(k, " ".join(rnd.choices(words, k=rnd.randrange(6))), " ".join(rnd.choices(words, k=rnd.randrange(9)))) for k in range(60)]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(symbol, details)")
+    con.executemany("INSERT INTO t(rowid, symbol, details) VALUES (?, ?, ?)", rows)
+    index = rundb.fact_terms(spark.createDataFrame(rows, "id long, symbol string, details string")).persist()
+    phrase = lambda: rnd.choice(["a", "b", "c", "a*", '"a b"', "a + c", "^b", '^"a b"', "n", "zz"])
+    item = lambda: rnd.choice([phrase, lambda: f"NEAR(a {rnd.choice('bc')}, {rnd.randrange(4)})", lambda: f"symbol:{phrase()}", lambda: f"-symbol : {phrase()}", lambda: f"{{symbol details}} : {phrase()}", lambda: "details:NEAR(a b c, 2)"])()
+    fixed = ["a NOT b c", "a b NOT c OR n", "a OR b AND c NOT n", "(a OR b) AND c", "symbol:(a OR b)", "NEAR(a c)", "^a", "a NOT b NOT c"]
+    asked = fixed + [rnd.choice([" ", " AND ", " OR ", " NOT "]).join(item() for _ in range(rnd.randrange(1, 4))) for _ in range(22)]
+    for q in asked:
+        want = sorted(x for (x,) in con.execute("SELECT rowid FROM t WHERE t MATCH ?", (q,)))
+        assert sorted(r.fact_id for r in rundb.matching(index, q).collect()) == want, q
+    index.unpersist()
+
+
+def test_marks_stay_in_their_word(spark):
+    index = rundb.fact_terms(spark.createDataFrame([(1, "cafe\u0301 noir", "x")], "id long, symbol string, details string"))
+    assert [r.fact_id for r in rundb.matching(index, "café").collect()] == [1] and {r.term for r in index.collect()} == {"cafe", "noir", "x"}
+
+
+def test_latest_runs(spark):
+    runs = spark.createDataFrame([(1, "a.c", 3), (2, "b.c", 0), (3, "a.c", 1)], "id long, filename string, error_count int")
+    assert {(r.filename, r.id, r.error_count) for r in rundb.latest_runs(runs).collect()} == {("a.c", 3, 1), ("b.c", 2, 0)}
+    assert [r.id for r in rundb.latest_runs(runs, "b%").collect()] == [2]
+
+
+def test_a_store_is_replaced_at_once(spark, tmp_path):
+    from codefacts.sources import stores
+
+    store = str(tmp_path / "store")
+    row = lambda k: spark.createDataFrame([(k, 1, f"alias{k}")], "id long, function_id long, alias_name string")
+    read = lambda: [r.id for r in stores.read_table(spark, store, "function_aliases").collect()]
+    assert read() == []
+    for k in range(1, 5):
+        early = stores.read_table(spark, store, "function_aliases")
+        stores.swap({"function_aliases": row(k)}, store)
+        assert read() == [k] and [r.id for r in early.collect()] == ([k - 1] if k > 1 else [])
+    stores.append(row(9), store, "function_aliases")
+    assert sorted(read()) == [4, 9]
+    row(7).write.parquet(f"{store}/function_aliases-torn")  # a writer that stopped before its manifest
+    assert sorted(read()) == [4, 9]
