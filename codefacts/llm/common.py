@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-import io
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE = Path(__file__).resolve().parents[1]
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_codefacts_shipped", False):
-        return
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        for p in sorted(PACKAGE.rglob("*.py")):
-            z.write(p, p.relative_to(PACKAGE.parent))
-    path = os.path.join(tempfile.mkdtemp(), "codefacts_package.zip")
-    Path(path).write_bytes(data.getvalue())
-    sc.addPyFile(path)
-    sc._codefacts_shipped = True
-
+from codefacts.sources.shipping import ship  # noqa: F401  (the operators take it from here)
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder: what the cluster names in spark.checkpoint.dir; a temporary one only where the master is this machine."""

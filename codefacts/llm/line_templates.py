@@ -27,6 +27,8 @@ from .common import Scratch, columns, cut, fresh, small, wide_hash
 from .url_filter import let
 
 FIELD = "<*>"
+#: Lines of which all votes of a round may lie in one task.
+FEW_LINES = 100_000
 
 
 def parsed_lines(docs: DataFrame, depth: int) -> DataFrame:
@@ -44,19 +46,19 @@ def parsed_lines(docs: DataFrame, depth: int) -> DataFrame:
 def general_templates(lines: DataFrame, sigs: DataFrame, keep, *, depth: int, min_docs: int, alike: float) -> list[DataFrame]:
     """Of each vote (key, sig): the lines of general templates that min_docs distinct texts hold."""
     leaves = keep(sigs.where(F.col("n") > depth).groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("sigs")).where((F.col("docs") >= min_docs) & (F.col("sigs") > 1)).select("leaf"))
-    few = small(leaves)
+    few = leaves
     # one line of words for each masked line of the leaves that may hold a general template
     worded = lines.select("leaf", "sig", "masked").join(few, "leaf", "left_semi").groupBy("leaf", "sig").agg(F.min("masked").alias("masked"))
     weights = sigs.join(few, "leaf", "left_semi").select("sig", "docs")
     rest = keep(worded.join(weights, "sig").select(F.col("leaf").alias("part"), "sig", "docs", "masked"))
     texts, found, first = lines.select("sig", "body"), [], True
-    while not rest.isEmpty():
-        seen = keep(voted(rest))
+    while (n := rest.count()) > 0:
+        # few lines are dealt by part once, which serves every step of a vote; many are not, as one part may have most of them
+        seen = keep(voted(rest.repartition(max(1, n // 20_000), "part") if n <= FEW_LINES else rest))
         like = seen.where(F.col("same") >= alike).select("part", "sig")
-        hit = texts.join(small(like), "sig")
+        hit = texts.join(like, "sig")
         reach = keep(hit.groupBy("part").agg(F.countDistinct("body").alias("texts")).where(F.col("texts") >= min_docs).select("part", F.lit(True).alias("reached")))
         key = wide_hash(F.concat_ws(":", F.col("part"), F.lit(len(found))))
-        reach = small(reach)
         found.append(like.join(reach, "part", "left_semi").select(key.alias("key"), "sig"))
         left = seen.join(reach, "part", "left").where(F.col("reached").isNull() | (F.col("same") < alike))
         if first:  # exact templates have voted once, with all others; from now on they do not
@@ -67,7 +69,7 @@ def general_templates(lines: DataFrame, sigs: DataFrame, keep, *, depth: int, mi
         may = left.groupBy("part").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("sigs")).where((F.col("docs") >= min_docs) & (F.col("sigs") > 1)).select("part")
         rest = keep(left.join(may, "part", "left_semi"))
         if first:
-            texts, first = keep(texts.join(small(keep(rest.select("sig"))), "sig", "left_semi").distinct()), False
+            texts, first = keep(texts.join(rest.select("sig"), "sig", "left_semi").distinct()), False
     return found
 
 
@@ -100,20 +102,20 @@ def spread(held: DataFrame, docs: DataFrame, keep, similarity: float) -> DataFra
     found = held.groupBy("key").agg(F.max("need").alias("need"), kinds.alias("kinds"), F.min("body").alias("first"))
     found = keep(found.withColumn("sure", F.col("kinds") >= 2 * F.col("need") - 1))
     out = [found.where("sure").select("key", "first")]
-    left = keep(held.join(small(found.where("not sure").select("key", "first")), "key"))
+    left = keep(held.join(found.where("not sure").select("key", "first"), "key"))
     if left.isEmpty():
         return out[0]
     # each text's set once, by one of its documents; sets stay where they are, what is joined to them is sent if its size allows
-    one = small(keep(left.groupBy("body").agg(F.min("doc_id").alias("_one"))).withColumnRenamed("body", "_body"))
+    one = keep(left.groupBy("body").agg(F.min("doc_id").alias("_one"))).withColumnRenamed("body", "_body")
     own = docs.select("doc_id", wide_hash("text").alias("body"), "text")
     sets = keep(own.join(one, (own["body"] == one["_body"]) & own["doc_id"].eqNullSafe(one["_one"]), "left_semi").select("body", shingles(F.col("text")).alias("set")))
     for taken in range(1, left.agg(F.max("need")).first()[0]):
         next_ = keep(left.groupBy("key").agg(F.min(F.struct("body", "chars")).alias("x")).select("key", F.col("x.body").alias("taken"), F.col("x.chars").alias("taken_chars")))
         met = left.join(next_, "key").where("body <> taken")
         near = F.least("chars", "taken_chars") / F.greatest("chars", "taken_chars") >= similarity
-        pairs = small(keep(met.where(near).select("body", "taken").distinct()))
-        leaders = sets.join(small(next_.select(F.col("taken").alias("body")).distinct()), "body", "left_semi").select(F.col("body").alias("taken"), F.col("set").alias("taken_set"))
-        both = sets.join(pairs, "body").join(small(keep(leaders.dropDuplicates(["taken"]))), "taken")
+        pairs = keep(met.where(near).select("body", "taken").distinct())
+        leaders = sets.join(next_.select(F.col("taken").alias("body")), "body", "left_semi").select(F.col("body").alias("taken"), F.col("set").alias("taken_set"))
+        both = sets.join(pairs, "body").join(keep(leaders.dropDuplicates(["taken"])), "taken")
         shared = F.size(F.array_intersect("set", "taken_set"))
         copies = both.where(shared / (F.size("set") + F.size("taken_set") - shared) >= similarity).select("body", "taken").distinct()
         left = keep(met.join(copies, ["body", "taken"], "left_anti").select(*left.columns))
@@ -129,16 +131,16 @@ def recurring(docs: DataFrame, lines: DataFrame, keep, *, depth: int, min_docs:
     rows = keep(lines.groupBy("sig").agg(F.count(F.lit(1)).alias("docs"), F.min("leaf").alias("leaf"), F.min("n").alias("n")))
     # only lines that stand in several rows can be in several texts
     several = rows.where("docs > 1")
-    in_texts = lines.select("sig", "body").join(small(several.select("sig")), "sig", "left_semi").distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("docs"))
+    in_texts = lines.select("sig", "body").join(several.select("sig"), "sig", "left_semi").distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("docs"))
     sigs = rows.where("docs = 1").unionByName(keep(several.drop("docs").join(in_texts, "sig")))
     need = F.when(F.col("docs") >= min_docs, min_docs).when((F.col("n") > long_words) & (F.col("docs") > 1), 2)
     cover = sigs.select(F.col("sig").alias("key"), "sig", need.alias("need")).where("need is not null")
     for got in general_templates(lines, sigs, keep, depth=depth, min_docs=min_docs, alike=alike):
         cover = cover.unionByName(got.withColumn("need", F.lit(min_docs)))
     cover = keep(cover)
-    held = lines.select("sig", "body", "doc_id", "chars").join(small(cover), "sig").groupBy("key", "body")
+    held = lines.select("sig", "body", "doc_id", "chars").join(cover, "sig").groupBy("key", "body")
     held = keep(held.agg(F.min("doc_id").alias("doc_id"), F.max("chars").alias("chars"), F.max("need").alias("need")))
-    found = cover.join(small(keep(spread(held, docs, keep, similarity))), "key").withColumn("stays", F.when(F.col("need") < min_docs, F.col("first")))
+    found = cover.join(keep(spread(held, docs, keep, similarity)), "key").withColumn("stays", F.when(F.col("need") < min_docs, F.col("first")))
     return found.groupBy("sig").agg(F.when(~F.bool_or(F.col("stays").isNull()), F.min("stays")).alias("stays"))
 
 
@@ -156,7 +158,7 @@ def drop_recurring_lines(docs: DataFrame, *, depth: int = 3, min_docs: int = 5,
     work = Scratch(docs.sparkSession, "lines")
     lines = work.keep(parsed_lines(narrow, depth))
     bad = work.keep(recurring(narrow, lines, work.keep, depth=depth, min_docs=min_docs, alike=alike, similarity=similarity, long_words=long_words))
-    hit = lines.select("doc_id", "body", "k", "sig").join(small(bad), "sig").where("stays is null or stays <> body")
+    hit = lines.select("doc_id", "body", "k", "sig").join(bad, "sig").where("stays is null or stays <> body")
     key, body, drop = fresh(docs, "_id", "_body", "_drop")
     act = cut(hit.groupBy("doc_id", "body").agg(F.collect_set("k").alias("drop")).select(F.col("doc_id").alias(key), F.col("body").alias(body), F.col("drop").alias(drop)))
     work.remove()
