@@ -42,7 +42,7 @@ class Scratch:
         """The rows of df, computed once. Unlike a checkpoint, the table brings none of its plan's constraints along, which grow in loops."""
         self.n += 1
         path = f"{self.folder}/{self.n}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self) -> None:

@@ -23,58 +23,89 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, columns, cut, fresh, small, wide_hash
+from .common import Scratch, columns, cut, fresh, held_bytes, small, wide_hash
 from .url_filter import let
 
 FIELD = "<*>"
 #: Lines of which all votes of a round may lie in one task.
 FEW_LINES = 100_000
+#: Bytes of the table of repeated texts up to which it is broadcast.
+MOST_SENT = 32 << 20
 
 
 def parsed_lines(docs: DataFrame, depth: int) -> DataFrame:
-    """(doc_id, body, chars, k, masked, leaf, sig, n): each line with a word; masked has its words, one blank apart, body and sig are hashes of the text and of masked."""
-    text = docs.select("doc_id", wide_hash("text").alias("body"), F.length("text").alias("chars"), "text")
-    line = text.select("doc_id", "body", "chars", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    own = ["doc_id", "body", "chars", "k"]
-    fields = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", "[^ \t\r]*[0-9][^ \t\r]*", FIELD)).otherwise(F.col("line"))
+    """(row, doc_id, body, chars, k, once, masked, leaf, sig, n): each line with a word; masked has its words, one blank apart (null where no vote asks for them), body and sig are hashes of the text and of the masked line.
+
+    row numbers the rows of docs; once is true for one of a row's lines of equal masked words, which sorting a row's own lines tells.
+    """
+    text = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", wide_hash("text").alias("body"), F.length("text").alias("chars"), "text")
+    own = ["row", "doc_id", "body", "chars"]
+    fields = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace("text", "[^ \t\r\n]*[0-9][^ \t\r\n]*", FIELD)).otherwise(F.col("text"))
     spaced = F.when(F.col("m").rlike("[\t\r]|  "), F.regexp_replace("m", "[ \t\r]+", " ")).otherwise(F.col("m"))
-    masked = line.select(*own, fields.alias("m")).select(*own, F.trim(spaced).alias("masked")).where("masked <> ''")
+    trimmed = F.transform(F.split("m", "\n"), lambda x, k: F.struct(F.trim(x).alias("masked"), k.alias("k")))
+    keyed = F.transform(F.filter(trimmed, lambda e: e["masked"] != ""), lambda e: F.struct(wide_hash(e["masked"]).alias("sig"), e["k"].alias("k"), e["masked"].alias("masked")))
+    flagged = let(F.sort_array(keyed), lambda s: F.transform(s, lambda e, i: F.struct(e["sig"].alias("sig"), e["k"].alias("k"), e["masked"].alias("masked"), ((i == 0) | (F.get(s, i - 1)["sig"] != e["sig"])).alias("once"))))
+    line = text.select(*own, fields.alias("m")).select(*own, spaced.alias("m")).select(*own, F.explode(flagged).alias("e")).select(*own, "e.*")
     n = F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1
-    return masked.select("*", F.xxhash64(n, F.substring_index("masked", " ", depth)).alias("leaf"), wide_hash("masked").alias("sig"), n.alias("n"))
+    words = F.when(F.col("once") & (n > depth), F.col("masked"))
+    return line.select(*own, "k", "once", words.alias("masked"), F.xxhash64(n, F.substring_index("masked", " ", depth)).alias("leaf"), "sig", n.alias("n"))
+
+
+def of_distinct_texts(lines: DataFrame, keep) -> DataFrame:
+    """(sig, body, doc_id, chars, leaf, n, masked): the masked lines of each distinct text once, so that rows with a sig are texts that hold it."""
+    rows = lines.groupBy("body").agg(F.min("row").alias("first_row"), F.max("row").alias("last_row")).where("first_row <> last_row")
+    repeated = keep(rows.select("body", "first_row"))
+    sent = held_bytes(repeated) <= MOST_SENT
+    own = lines.where("once").join(F.broadcast(repeated) if sent else repeated, "body", "left").where("first_row is null or first_row = row")
+    own = own.select("sig", "body", "doc_id", "chars", "leaf", "n", "masked")
+    return own if sent else keep(own)
+
 
+def general_templates(own: DataFrame, sigs: DataFrame, keep, *, depth: int, min_docs: int, alike: float) -> list[DataFrame]:
+    """Of each vote (key, sig): the lines of general templates that min_docs distinct texts hold.
 
-def general_templates(lines: DataFrame, sigs: DataFrame, keep, *, depth: int, min_docs: int, alike: float) -> list[DataFrame]:
-    """Of each vote (key, sig): the lines of general templates that min_docs distinct texts hold."""
-    leaves = keep(sigs.where(F.col("n") > depth).groupBy("leaf").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("sigs")).where((F.col("docs") >= min_docs) & (F.col("sigs") > 1)).select("leaf"))
-    few = leaves
+    Exact templates vote once, with all others; from then on they do not, so a line that still votes is held by fewer than
+    min_docs texts and carries their hashes.
+    """
+    may = lambda lines, part: lines.groupBy(part).agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("sigs")).where((F.col("docs") >= min_docs) & (F.col("sigs") > 1)).select(part)
+    leaves = keep(may(sigs.where(F.col("n") > depth), "leaf"))
     # one line of words for each masked line of the leaves that may hold a general template
-    worded = lines.select("leaf", "sig", "masked").join(few, "leaf", "left_semi").groupBy("leaf", "sig").agg(F.min("masked").alias("masked"))
-    weights = sigs.join(few, "leaf", "left_semi").select("sig", "docs")
-    rest = keep(worded.join(weights, "sig").select(F.col("leaf").alias("part"), "sig", "docs", "masked"))
-    texts, found, first = lines.select("sig", "body"), [], True
+    worded = own.where(F.col("n") > depth).join(leaves, "leaf", "left_semi").groupBy("sig").agg(F.min("leaf").alias("part"), F.count(F.lit(1)).alias("docs"), F.min("masked").alias("masked"))
+    rest = keep(worded)
+    if (n := rest.count()) == 0:
+        return []
+    seen = keep(voted(*dealt(rest, n)))
+    like = seen.where(F.col("same") >= alike).select("part", "sig")
+    texts = own.select("sig", "body")
+    reach = keep(texts.join(like, "sig").groupBy("part").agg(F.countDistinct("body").alias("texts")).where(F.col("texts") >= min_docs).select("part", F.lit(True).alias("reached")))
+    key = lambda vote: wide_hash(F.concat_ws(":", F.col("part"), F.lit(vote)))
+    found = [like.join(reach, "part", "left_semi").select(key(0).alias("key"), "sig")]
+    left = seen.join(reach, "part", "left").where((F.col("reached").isNull() | (F.col("same") < alike)) & (F.col("docs") < min_docs)).select("part", "sig", "docs", "masked")
+    rest = keep(left.join(may(left, "part"), "part", "left_semi"))
+    rest = keep(rest.join(texts.join(rest.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.collect_list("body").alias("bodies")), "sig"))
     while (n := rest.count()) > 0:
-        # few lines are dealt by part once, which serves every step of a vote; many are not, as one part may have most of them
-        seen = keep(voted(rest.repartition(max(1, n // 20_000), "part") if n <= FEW_LINES else rest))
-        like = seen.where(F.col("same") >= alike).select("part", "sig")
-        hit = texts.join(like, "sig")
-        reach = keep(hit.groupBy("part").agg(F.countDistinct("body").alias("texts")).where(F.col("texts") >= min_docs).select("part", F.lit(True).alias("reached")))
-        key = wide_hash(F.concat_ws(":", F.col("part"), F.lit(len(found))))
-        found.append(like.join(reach, "part", "left_semi").select(key.alias("key"), "sig"))
-        left = seen.join(reach, "part", "left").where(F.col("reached").isNull() | (F.col("same") < alike))
-        if first:  # exact templates have voted once, with all others; from now on they do not
-            left = left.where(F.col("docs") < min_docs)
-        else:
-            left = left.withColumn("part", F.when(F.col("reached"), F.col("part")).otherwise(F.xxhash64("part", "word")))
-        left = left.select("part", "sig", "docs", "masked")
-        may = left.groupBy("part").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("sigs")).where((F.col("docs") >= min_docs) & (F.col("sigs") > 1)).select("part")
-        rest = keep(left.join(may, "part", "left_semi"))
-        if first:
-            texts, first = keep(texts.join(rest.select("sig"), "sig", "left_semi").distinct()), False
+        near, how = dealt(rest, n)
+        seen = voted(near.join(hinted(may(near, "part"), how), "part", "left_semi"), how)
+        holders = seen.where(F.col("same") >= alike).select("part", F.explode("bodies").alias("body")).distinct()
+        reach = holders.groupBy("part").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_docs).select("part", F.lit(True).alias("reached"))
+        seen = keep(seen.join(hinted(reach, how), "part", "left").withColumn("hit", F.col("reached").isNotNull() & (F.col("same") >= alike)))
+        found.append(seen.where("hit").select(key(len(found)).alias("key"), "sig"))
+        part = F.when(F.col("reached"), F.col("part")).otherwise(F.xxhash64("part", "word"))
+        rest = seen.where("not hit").select(part.alias("part"), "sig", "docs", "masked", "bodies")
     return found
 
 
-def voted(rest: DataFrame) -> DataFrame:
-    """rest (part, sig, docs, masked) with same, the share of its places that hold their part's most frequent word, and word, that of the place on which the part is best split.
+def dealt(rest: DataFrame, n: int) -> tuple[DataFrame, str]:
+    """The n lines of rest, dealt by part once if they are few, which serves every step of a vote, and the joins' hint; many are not, as one part may have most of them."""
+    return (rest.repartition(max(1, n // 20_000), "part"), "merge") if n <= FEW_LINES else (rest, "")
+
+
+def hinted(df: DataFrame, how: str) -> DataFrame:
+    return df.hint(how) if how else df
+
+
+def voted(rest: DataFrame, how: str = "") -> DataFrame:
+    """rest (part, sig, docs, masked and others) with same, the share of its places that hold their part's most frequent word, and word, that of the place on which the part is best split.
 
     That is the place whose most frequent word has the most texts, of the places that differ within the part.
     """
@@ -86,7 +117,7 @@ def voted(rest: DataFrame) -> DataFrame:
     words = F.split("masked", " ")
     alike = F.zip_with(words, "tops", lambda w, t: (w == t["word"]).cast("int"))
     same = F.aggregate(alike, F.lit(0), lambda n, x: n + x) / F.size(words)
-    return rest.join(tops, "part").select("part", "sig", "docs", "masked", same.alias("same"), F.get(words, -F.col("split.col2")).alias("word"))
+    return rest.join(hinted(tops, how), "part").select(*rest.columns, same.alias("same"), F.get(words, -F.col("split.col2")).alias("word"))
 
 
 def shingles(text: F.Column) -> F.Column:
@@ -109,13 +140,16 @@ def spread(held: DataFrame, docs: DataFrame, keep, similarity: float) -> DataFra
     one = keep(left.groupBy("body").agg(F.min("doc_id").alias("_one"))).withColumnRenamed("body", "_body")
     own = docs.select("doc_id", wide_hash("text").alias("body"), "text")
     sets = keep(own.join(one, (own["body"] == one["_body"]) & own["doc_id"].eqNullSafe(one["_one"]), "left_semi").select("body", shingles(F.col("text")).alias("set")))
+    # the same row may stand in the table several times
+    if not sets.groupBy("body").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        sets = keep(sets.dropDuplicates(["body"]))
     for taken in range(1, left.agg(F.max("need")).first()[0]):
         next_ = keep(left.groupBy("key").agg(F.min(F.struct("body", "chars")).alias("x")).select("key", F.col("x.body").alias("taken"), F.col("x.chars").alias("taken_chars")))
         met = left.join(next_, "key").where("body <> taken")
         near = F.least("chars", "taken_chars") / F.greatest("chars", "taken_chars") >= similarity
         pairs = keep(met.where(near).select("body", "taken").distinct())
-        leaders = sets.join(next_.select(F.col("taken").alias("body")), "body", "left_semi").select(F.col("body").alias("taken"), F.col("set").alias("taken_set"))
-        both = sets.join(pairs, "body").join(keep(leaders.dropDuplicates(["taken"])), "taken")
+        leaders = sets.join(pairs.select(F.col("taken").alias("body")).distinct(), "body", "left_semi").select(F.col("body").alias("taken"), F.col("set").alias("taken_set"))
+        both = sets.join(pairs, "body").join(keep(leaders), "taken")
         shared = F.size(F.array_intersect("set", "taken_set"))
         copies = both.where(shared / (F.size("set") + F.size("taken_set") - shared) >= similarity).select("body", "taken").distinct()
         left = keep(met.join(copies, ["body", "taken"], "left_anti").select(*left.columns))
@@ -128,17 +162,14 @@ def spread(held: DataFrame, docs: DataFrame, keep, similarity: float) -> DataFra
 
 def recurring(docs: DataFrame, lines: DataFrame, keep, *, depth: int, min_docs: int, alike: float, similarity: float, long_words: int) -> DataFrame:
     """(sig, stays): the masked lines whose template recurs, and the text in which the line stays all the same, else null."""
-    rows = keep(lines.groupBy("sig").agg(F.count(F.lit(1)).alias("docs"), F.min("leaf").alias("leaf"), F.min("n").alias("n")))
-    # only lines that stand in several rows can be in several texts
-    several = rows.where("docs > 1")
-    in_texts = lines.select("sig", "body").join(several.select("sig"), "sig", "left_semi").distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("docs"))
-    sigs = rows.where("docs = 1").unionByName(keep(several.drop("docs").join(in_texts, "sig")))
+    own = of_distinct_texts(lines, keep)
+    sigs = keep(own.groupBy("sig").agg(F.count(F.lit(1)).alias("docs"), F.min("leaf").alias("leaf"), F.min("n").alias("n")))
     need = F.when(F.col("docs") >= min_docs, min_docs).when((F.col("n") > long_words) & (F.col("docs") > 1), 2)
     cover = sigs.select(F.col("sig").alias("key"), "sig", need.alias("need")).where("need is not null")
-    for got in general_templates(lines, sigs, keep, depth=depth, min_docs=min_docs, alike=alike):
+    for got in general_templates(own, sigs, keep, depth=depth, min_docs=min_docs, alike=alike):
         cover = cover.unionByName(got.withColumn("need", F.lit(min_docs)))
     cover = keep(cover)
-    held = lines.select("sig", "body", "doc_id", "chars").join(cover, "sig").groupBy("key", "body")
+    held = own.select("sig", "body", "doc_id", "chars").join(cover, "sig").groupBy("key", "body")
     held = keep(held.agg(F.min("doc_id").alias("doc_id"), F.max("chars").alias("chars"), F.max("need").alias("need")))
     found = cover.join(keep(spread(held, docs, keep, similarity)), "key").withColumn("stays", F.when(F.col("need") < min_docs, F.col("first")))
     return found.groupBy("sig").agg(F.when(~F.bool_or(F.col("stays").isNull()), F.min("stays")).alias("stays"))
