@@ -137,7 +137,7 @@ def spread(held: DataFrame, docs: DataFrame, keep, similarity: float) -> DataFra
     if left.isEmpty():
         return out[0]
     # each text's set once, by one of its documents; sets stay where they are, what is joined to them is sent if its size allows
-    one = keep(left.groupBy("body").agg(F.min("doc_id").alias("_one"))).withColumnRenamed("body", "_body")
+    one = small(keep(left.groupBy("body").agg(F.min("doc_id").alias("_one"))).withColumnRenamed("body", "_body"), 64)
     own = docs.select("doc_id", wide_hash("text").alias("body"), "text")
     sets = keep(own.join(one, (own["body"] == one["_body"]) & own["doc_id"].eqNullSafe(one["_one"]), "left_semi").select("body", shingles(F.col("text")).alias("set")))
     # the same row may stand in the table several times
@@ -148,8 +148,8 @@ def spread(held: DataFrame, docs: DataFrame, keep, similarity: float) -> DataFra
         met = left.join(next_, "key").where("body <> taken")
         near = F.least("chars", "taken_chars") / F.greatest("chars", "taken_chars") >= similarity
         pairs = keep(met.where(near).select("body", "taken").distinct())
-        leaders = sets.join(pairs.select(F.col("taken").alias("body")).distinct(), "body", "left_semi").select(F.col("body").alias("taken"), F.col("set").alias("taken_set"))
-        both = sets.join(pairs, "body").join(keep(leaders), "taken")
+        leaders = sets.join(small(keep(pairs.select(F.col("taken").alias("body")).distinct()), 64), "body", "left_semi").select(F.col("body").alias("taken"), F.col("set").alias("taken_set"))
+        both = sets.join(small(pairs, 64), "body").join(keep(leaders), "taken")
         shared = F.size(F.array_intersect("set", "taken_set"))
         copies = both.where(shared / (F.size("set") + F.size("taken_set") - shared) >= similarity).select("body", "taken").distinct()
         left = keep(met.join(copies, ["body", "taken"], "left_anti").select(*left.columns))
