@@ -77,12 +77,12 @@ def general_templates(own: DataFrame, sigs: DataFrame, keep, *, depth: int, min_
     seen = keep(voted(*dealt(rest, n)))
     like = seen.where(F.col("same") >= alike).select("part", "sig")
     texts = own.select("sig", "body")
-    reach = keep(texts.join(like, "sig").groupBy("part").agg(F.countDistinct("body").alias("texts")).where(F.col("texts") >= min_docs).select("part", F.lit(True).alias("reached")))
+    reach = keep(texts.join(small(like, 16), "sig").groupBy("part").agg(F.countDistinct("body").alias("texts")).where(F.col("texts") >= min_docs).select("part", F.lit(True).alias("reached")))
     key = lambda vote: wide_hash(F.concat_ws(":", F.col("part"), F.lit(vote)))
     found = [like.join(reach, "part", "left_semi").select(key(0).alias("key"), "sig")]
     left = seen.join(reach, "part", "left").where((F.col("reached").isNull() | (F.col("same") < alike)) & (F.col("docs") < min_docs)).select("part", "sig", "docs", "masked")
     rest = keep(left.join(may(left, "part"), "part", "left_semi"))
-    rest = keep(rest.join(texts.join(rest.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.collect_list("body").alias("bodies")), "sig"))
+    rest = keep(rest.join(texts.join(small(rest.select("sig"), 16), "sig", "left_semi").groupBy("sig").agg(F.collect_list("body").alias("bodies")), "sig"))
     while (n := rest.count()) > 0:
         near, how = dealt(rest, n)
         seen = voted(near.join(hinted(may(near, "part"), how), "part", "left_semi"), how)
@@ -169,7 +169,7 @@ def recurring(docs: DataFrame, lines: DataFrame, keep, *, depth: int, min_docs:
     for got in general_templates(own, sigs, keep, depth=depth, min_docs=min_docs, alike=alike):
         cover = cover.unionByName(got.withColumn("need", F.lit(min_docs)))
     cover = keep(cover)
-    held = own.select("sig", "body", "doc_id", "chars").join(cover, "sig").groupBy("key", "body")
+    held = own.select("sig", "body", "doc_id", "chars").join(small(cover, 16), "sig").groupBy("key", "body")
     held = keep(held.agg(F.min("doc_id").alias("doc_id"), F.max("chars").alias("chars"), F.max("need").alias("need")))
     found = cover.join(keep(spread(held, docs, keep, similarity)), "key").withColumn("stays", F.when(F.col("need") < min_docs, F.col("first")))
     return found.groupBy("sig").agg(F.when(~F.bool_or(F.col("stays").isNull()), F.min("stays")).alias("stays"))
@@ -189,7 +189,7 @@ def drop_recurring_lines(docs: DataFrame, *, depth: int = 3, min_docs: int = 5,
     work = Scratch(docs.sparkSession, "lines")
     lines = work.keep(parsed_lines(narrow, depth))
     bad = work.keep(recurring(narrow, lines, work.keep, depth=depth, min_docs=min_docs, alike=alike, similarity=similarity, long_words=long_words))
-    hit = lines.select("doc_id", "body", "k", "sig").join(bad, "sig").where("stays is null or stays <> body")
+    hit = lines.select("doc_id", "body", "k", "sig").join(small(bad, 16), "sig").where("stays is null or stays <> body")
     key, body, drop = fresh(docs, "_id", "_body", "_drop")
     act = cut(hit.groupBy("doc_id", "body").agg(F.collect_set("k").alias("drop")).select(F.col("doc_id").alias(key), F.col("body").alias(body), F.col("drop").alias(drop)))
     work.remove()
