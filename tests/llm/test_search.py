@@ -53,6 +53,23 @@ def test_exact_in_blocks_and_empty(spark, odd_vectors):
     assert exact_topk.exact_top_k(v, v.limit(0), 3).count() == 0
 
 
+def test_exact_over_ranges_of_length(spark):
+    rnd = np.random.default_rng(4)
+    x = np.floor(1024 * rnd.normal(size=(2500, 8)) * np.geomspace(1, 0.01, 2500)[:, None]).astype(int)
+    x[900:1700] = x[900]  # a third of all rows are one vector
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(5000 + k, [7, k]) for k in range(5)]
+    v = spark.createDataFrame(rows, "id long, vector array<long>")
+    ends = exact_topk.length_ranges(v.selectExpr("sqrt(aggregate(vector, 0D, (a, x) -> a + x * x)) as length"), len(rows), 512)
+    assert len(ends) >= 1 and ends == sorted(ends, reverse=True)
+    got = exact_topk.exact_top_k(v, v.where("id % 25 = 0"), 10, most_candidates=300, most_queries=40).collect()
+    want = []
+    for q, a in rows:
+        if q % 25 == 0:
+            best = sorted((-int(np.dot(a, b)), c) for c, b in rows if c != q and len(a) == len(b))[:10]
+            want += [(q, r, c, -s) for r, (s, c) in enumerate(best, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_exact_with_large_numbers():
     rnd = np.random.default_rng(1)
     c, q = rnd.integers(-(2**27), 2**27, (300, 6)), rnd.integers(-(2**27), 2**27, (5, 6))
@@ -71,6 +88,11 @@ def test_search_prunes():
     a = exact_topk.search_block(np.arange(4000), c, np.array([9]), c[9:10], axes, 4, 10)
     b = exact_topk.search_block(np.arange(4000), c, np.array([9]), c[9:10], np.eye(16), 16, 10, step=4000)
     assert a[1].tolist() == b[1].tolist() and a[2].tolist() == b[2].tolist()
+    counts = {}
+    exact_topk.search_block(np.arange(4000), c, np.arange(0, 4000, 40), c[::40], axes, 8, 10, counts=counts)
+    assert counts["pairs"] == 400_000 and counts["scored"] < 0.2 * counts["pairs"]
+    floor = np.full(100, 1e12)
+    assert len(exact_topk.search_block(np.arange(4000), c, np.arange(0, 4000, 40), c[::40], axes, 4, 10, floor=floor)[0]) == 0
 
 
 def test_ann_recall_and_scores(spark):
