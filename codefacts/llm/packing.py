@@ -3,7 +3,8 @@
 Each task keeps a fixed number of open windows. A document's full windows are closed at once; its
 remainder goes to the open window it fits best. When none has room, a new window is opened; if all
 places are taken, the fullest is emitted first. What is still open when a task ends (at most
-`open_windows` windows a task) is merged, best fit in descending size, across groups of tasks.
+`open_windows` windows a task) is merged, best fit in descending size, across groups of tasks; the
+`open_windows` emptiest windows of each group go on to a group of groups, until one group is left.
 
 Memory is bounded by `open_windows` windows plus one document; a lost task is computed again from
 its input rows and gives the same windows, and the windows are checkpointed before leftovers are
@@ -116,9 +117,8 @@ def pack_documents(docs: DataFrame, *, vocabulary: str | None = None, size: int
 
     pieces = cut(columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES))
     own = F.shiftleft(F.col("task").cast("long"), 32) + F.col("window")
-    windows = pieces.where("leftover and offset = 0").select("task", "window", "fill", F.floor(F.col("task") / GROUP).cast("int").alias("part"))
-    merged = windows.groupBy("part").applyInArrow(lambda t: merge_leftovers(t, size), "task int, window long, sequence_id long, base long")
-    moved = pieces.where("leftover").join(merged, ["task", "window"])
+    merged = merge_rounds(pieces.where("leftover and offset = 0").select(own.alias("own"), F.col("fill").cast("long")), size, open_windows)
+    moved = pieces.where("leftover").withColumn("own", own).join(merged, "own")
     final = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     return (
         pieces.where("not leftover").withColumn("sequence_id", own).select(final)
@@ -126,19 +126,44 @@ def pack_documents(docs: DataFrame, *, vocabulary: str | None = None, size: int
     )
 
 
-def merge_leftovers(table: pa.Table, size: int) -> pa.Table:
-    """Best fit in descending size over the open windows of GROUP tasks (at most GROUP times open_windows rows)."""
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("fill", "task", "window"))), key=lambda r: (-r[0], r[1], r[2]))
+MERGED = "own long, sequence_id long, base long, total long, goes_on boolean"
+
+
+def merge_rounds(windows: DataFrame, size: int, open_windows: int) -> DataFrame:
+    """own, sequence_id, base for all leftover windows (own: task and window; fill): where each ends up, and at which offset."""
+    reach, out, placed = GROUP, windows, None
+    while True:
+        part = F.floor(F.shiftright("own", 32) / reach).alias("part")
+        out = cut(out.select("own", "fill", part).groupBy("part").applyInArrow(lambda t: merge_leftovers(t, size, open_windows), MERGED))
+        if placed is None:
+            placed = out.select("own", "sequence_id", "base")
+        else:
+            step = out.select(F.col("own").alias("sequence_id"), F.col("sequence_id").alias("to"), F.col("base").alias("more"))
+            placed = placed.join(step, "sequence_id", "left").select(
+                "own", F.coalesce("to", "sequence_id").alias("sequence_id"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("base")
+            )
+        last = out.agg(F.max(F.shiftright("own", 32))).first()[0]
+        if last is None or last < reach:
+            return placed
+        reach *= GROUP
+        out = out.where("goes_on").select("own", F.col("total").alias("fill"))
+
+
+def merge_leftovers(table: pa.Table, size: int, open_windows: int) -> pa.Table:
+    """Best fit in descending size over at most GROUP times open_windows rows; the emptiest open_windows go on."""
+    rows = sorted(zip(table.column("fill").to_pylist(), table.column("own").to_pylist()), key=lambda r: (-r[0], r[1]))
     free: list[tuple[int, int]] = []
     out = []
-    for fill, task, window in rows:
+    for fill, own in rows:
         at = bisect.bisect_left(free, (fill, -1))
-        room, seq = free.pop(at) if at < len(free) else (size, (task << 32) + window)
-        out.append((task, window, seq, size - room))
+        room, seq = free.pop(at) if at < len(free) else (size, own)
+        out.append((own, seq, size - room))
         if room > fill:
             bisect.insort(free, (room - fill, seq))
-    cols = list(zip(*out)) or [()] * 4
-    return pa.table({n: pa.array(c, t) for n, c, t in zip(("task", "window", "sequence_id", "base"), cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64()))})
+    room = {seq: r for r, seq in free}
+    on = {seq for _, seq in free[-open_windows:]}
+    cols = list(zip(*((own, seq, base, size - room.get(seq, 0), own == seq and seq in on) for own, seq, base in out))) or [()] * 5
+    return pa.table({n: pa.array(c, t) for n, c, t in zip((x.split()[0] for x in MERGED.split(", ")), cols, (pa.int64(),) * 4 + (pa.bool_(),))})
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -122,6 +122,15 @@ def test_packing_odd_texts(spark, odd, library, open_windows):
     assert packing.pack_documents(odd.limit(0)).count() == 0
 
 
+def test_leftovers_of_many_tasks_meet(spark, library):
+    texts = [(k, "word " * (1 + k % 23)) for k in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(70)
+    pieces = packing.pack_documents(docs, open_windows=4).toPandas()
+    check_packing(pieces, texts, library)
+    n = pieces.length.sum()
+    assert pieces.sequence_id.nunique() <= -(-n // 2048) + 2  # 70 tasks, 9 groups, 2 groups of groups, 1
+
+
 def test_open_windows_are_bounded():
     w, rnd, live = packing.OpenWindows(100, 4), random.Random(1), set()
     for _ in range(500):
