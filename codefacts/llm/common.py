@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import itertools
 import tempfile
 import uuid
 
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 
 from codefacts.sources.shipping import ship  # noqa: F401  (the operators take it from here)
 
+COLLECT = 4
+_computed = itertools.count(1)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder: what the cluster names in spark.checkpoint.dir; a temporary one only where the master is this machine."""
     sc = spark.sparkContext
@@ -23,13 +29,26 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Called for each table that has been computed; at every COLLECT-th the driver's garbage is collected.
+
+    Plans of such tables are large, and Spark gives up their shuffles and broadcasts only then; otherwise the driver's heap
+    grows to its limit with the number of tables.
+    """
+    if next(_computed) % COLLECT == 0:
+        gc.collect()  # else Python's own references keep plans alive
+        spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, computed once and kept in the session's checkpoint folder.
 
     Partitions keep their numbers, so later jobs see one answer even if an executor is lost.
     """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    collect_garbage(df.sparkSession)
+    return out
 
 
 class Scratch:
@@ -43,6 +62,7 @@ class Scratch:
         self.n += 1
         path = f"{self.folder}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
+        collect_garbage(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def remove(self) -> None:

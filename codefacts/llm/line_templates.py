@@ -40,7 +40,7 @@ def parsed_lines(docs: DataFrame, depth: int) -> DataFrame:
     """
     text = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", wide_hash("text").alias("body"), F.length("text").alias("chars"), "text")
     own = ["row", "doc_id", "body", "chars"]
-    fields = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace("text", "[^ \t\r\n]*[0-9][^ \t\r\n]*", FIELD)).otherwise(F.col("text"))
+    fields = F.when(F.col("text").rlike("[0-9]"), F.regexp_replace("text", r"(?<![^ \t\r\n])[^ \t\r\n0-9]*+[0-9][^ \t\r\n]*+", FIELD)).otherwise(F.col("text"))
     spaced = F.when(F.col("m").rlike("[\t\r]|  "), F.regexp_replace("m", "[ \t\r]+", " ")).otherwise(F.col("m"))
     trimmed = F.transform(F.split("m", "\n"), lambda x, k: F.struct(F.trim(x).alias("masked"), k.alias("k")))
     keyed = F.transform(F.filter(trimmed, lambda e: e["masked"] != ""), lambda e: F.struct(wide_hash(e["masked"]).alias("sig"), e["k"].alias("k"), e["masked"].alias("masked")))
@@ -96,8 +96,11 @@ def general_templates(own: DataFrame, sigs: DataFrame, keep, *, depth: int, min_
 
 
 def dealt(rest: DataFrame, n: int) -> tuple[DataFrame, str]:
-    """The n lines of rest, dealt by part once if they are few, which serves every step of a vote, and the joins' hint; many are not, as one part may have most of them."""
-    return (rest.repartition(max(1, n // 20_000), "part"), "merge") if n <= FEW_LINES else (rest, "")
+    """The n lines of rest, dealt by part once if they are few, which serves every step of a vote, and the joins' hint; many are not, as one part may have most of them.
+
+    No number of partitions is given: with fewer than Spark's own, the joins would deal the lines anew.
+    """
+    return (rest.repartition("part"), "merge") if n <= FEW_LINES else (rest, "")
 
 
 def hinted(df: DataFrame, how: str) -> DataFrame:
@@ -121,9 +124,10 @@ def voted(rest: DataFrame, how: str = "") -> DataFrame:
 
 
 def shingles(text: F.Column) -> F.Column:
-    """The distinct 32-bit hashes of a text's runs of five words, the words as they stand; one run of all words if there are fewer."""
-    words = F.filter(F.split(text, "[ \t\r\n]+"), lambda x: x != "")
-    return let(words, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.hash(F.slice(w, i, 5)))))
+    """The distinct 32-bit hashes of a text's runs of five words, the words as they stand and hashed once each; one run of all words if there are fewer."""
+    words = F.transform(F.array_remove(F.split(text, "[ \t\r\n]+"), ""), lambda x: F.xxhash64(x))
+    run = lambda w: lambda x, i: F.hash(x, *[F.get(w, i + k) for k in range(1, 5)])
+    return let(words, lambda w: F.array_distinct(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 4, F.lit(1))), run(w))))
 
 
 def spread(held: DataFrame, docs: DataFrame, keep, similarity: float) -> DataFrame:
@@ -148,8 +152,9 @@ def spread(held: DataFrame, docs: DataFrame, keep, similarity: float) -> DataFra
         met = left.join(next_, "key").where("body <> taken")
         near = F.least("chars", "taken_chars") / F.greatest("chars", "taken_chars") >= similarity
         pairs = keep(met.where(near).select("body", "taken").distinct())
-        leaders = sets.join(small(keep(pairs.select(F.col("taken").alias("body")).distinct()), 64), "body", "left_semi").select(F.col("body").alias("taken"), F.col("set").alias("taken_set"))
-        both = sets.join(small(pairs, 64), "body").join(keep(leaders), "taken")
+        sent = F.broadcast if held_bytes(pairs) <= 64 << 20 else lambda df: df  # what is taken is in pairs, so it is no larger
+        leaders = sets.join(sent(pairs.select(F.col("taken").alias("body")).distinct()), "body", "left_semi").select(F.col("body").alias("taken"), F.col("set").alias("taken_set"))
+        both = sets.join(sent(pairs), "body").join(keep(leaders), "taken")
         shared = F.size(F.array_intersect("set", "taken_set"))
         copies = both.where(shared / (F.size("set") + F.size("taken_set") - shared) >= similarity).select("body", "taken").distinct()
         left = keep(met.join(copies, ["body", "taken"], "left_anti").select(*left.columns))

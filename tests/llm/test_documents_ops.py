@@ -5,6 +5,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codefacts.llm import components, language_id, line_templates, near_dedup, url_filter
@@ -235,6 +236,34 @@ def test_every_template_of_a_leaf_is_found(spark):
         assert (r.text, r.n_lines_dropped) == (f"{own(n, k)}\nz{own(n, k)}", 1)
 
 
+def test_few_lines_are_dealt_once_a_vote(spark):
+    rows = [(k % 7, f"s{k}", 2, f"a b c w{k % 5} x{k % 3}") for k in range(400)]
+    lines = spark.createDataFrame(rows, "part long, sig string, docs long, masked string")
+    seen = line_templates.voted(*line_templates.dealt(lines, len(rows)))
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2  # of the lines and of their words, and no more for the join
+    assert seen.count() == len(rows) and seen.where("same >= 0.6").count() > 0
+
+
+def test_garbage_of_the_driver_is_collected_between_tables(spark):
+    from codefacts.llm.common import COLLECT, Scratch, cut
+
+    beans = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    work = Scratch(spark, "garbage")
+    for kept in (work.keep, cut):
+        before = beans()
+        for k in range(COLLECT):
+            assert kept(spark.range(k)).count() == k
+        assert beans() > before
+    work.remove()
+
+
+def test_shingles_are_runs_of_five_words(spark):
+    texts = ["a b c d e f g", "a b c d e", " a  b\tc\r\nd ", "one", "f g a b c d e f g a b c d e f g"]
+    got = [len(r.s) for r in spark.createDataFrame([(t,) for t in texts], "text string").select(line_templates.shingles(F.col("text")).alias("s")).collect()]
+    assert got == [len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) for w in map(str.split, texts)]
+
+
 def test_pages_of_nothing_but_boilerplate_are_cleaned(spark):
     rows = [(k, f"Cookie notice accept all\nSign in to continue here\nown{chr(97 + k)}") for k in range(10)]
     rows += [(100 + k, f"job step done alpha beta gamma delta v{chr(97 + k)}") for k in range(10)] + [(200 + k, f"job step done one two three four v{chr(97 + k)}") for k in range(6)]
