@@ -313,9 +313,12 @@ def members_in_blocks(members: DataFrame) -> DataFrame:
 def links_among_members(members: DataFrame, texts: DataFrame, weights, words: int, similarity: float) -> DataFrame:
     """(a, b) of the alike pairs among members(leader, h, component) of one leader that are in different components."""
     keyed = members_in_blocks(members).join(texts, "h")
+    made: list[Weights] = []  # once a task, not once a group: the table of weights has millions of cells
 
     def run(key, t):
-        of = Weights(*weights.value, words)
+        if not made:
+            made.append(Weights(*weights.value, words))
+        of = made[0]
         h, component = (t.column(c).to_pylist() for c in ("h", "component"))
         own, stray = (np.array(t.column(c).to_pylist()) for c in ("own", "stray"))
         vectors = [of(x) for x in t.column("text").to_pylist()]

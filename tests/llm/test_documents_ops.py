@@ -133,6 +133,30 @@ def test_a_stray_meets_its_leaders_members_once(spark):
     assert len(pairs) == sum(1 for (_, _, x), (_, _, y) in itertools.combinations(rows[-700:], 2) if x != y)
 
 
+def test_weights_are_built_once_a_task_not_once_a_group(spark, tmp_path):
+    import numpy as np
+
+    class Sent:  # stands for the broadcast; notes each reading
+        def __init__(self, path):
+            self.path = path
+
+        @property
+        def value(self):
+            with open(self.path, "a") as f:
+                f.write("x")
+            return 100, np.zeros((near_dedup.DEPTH, 1 << 16), np.int64)
+
+    rnd, rows, want = random.Random(5), [], set()
+    for k in range(40):
+        base = words(rnd, 60)
+        rows += [(f"L{k}", f"h{k}.{j}".encode(), f"c{k}.{j}".encode(), " ".join(base if j < 2 else words(rnd, 60)) + f" tail{j}") for j in range(3)]
+        want.add((f"h{k}.0".encode(), f"h{k}.1".encode()))
+    table = spark.createDataFrame(rows, "leader string, h binary, component binary, text string")
+    found = near_dedup.links_among_members(table.drop("text"), table.select("h", "text"), Sent(str(tmp_path / "read")), 5, 0.8)
+    assert {(bytes(r.a), bytes(r.b)) for r in found.collect()} == want
+    assert (tmp_path / "read").stat().st_size <= 4  # the partitions
+
+
 def test_samples_agree_as_weighted_jaccard():
     import numpy as np
 
