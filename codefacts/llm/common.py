@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import itertools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +103,22 @@ def matrix(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
     return values.reshape(n, len(values) // n if n else 0)
 
 
+def release() -> None:
+    """What this process has freed goes back to the system, as far as its C library can do that; else it stays with idle workers beside the next tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in order, a few at a time: a batch may hold ten thousand texts, of which only so many become Python's."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+        del b  # before the next one is read
+        release()
+
+
 def usable(vector, *, zero_too: bool) -> F.Column:
     """True for a vector that has components, none null and all finite (and, unless zero_too, one that is not 0)."""
     wide = F.transform(vector, lambda x: x.cast("double"))

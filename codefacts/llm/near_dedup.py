@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, cut, ship, small, wide_hash
+from .common import columns, cut, in_parts, ship, small, wide_hash
 from .components import components
 from .wordbpe import Memo
 
@@ -44,7 +44,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     def __init__(self, words: int = 5):
         self.n = words
-        self.hash = Memo(lambda w: xxhash.xxh64_intdigest(w), 500_000)
+        self.hash = Memo(lambda w: xxhash.xxh64_intdigest(w), 50_000)
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct shingles (hashes) of the lower-case words, and how often each occurs; fewer words make one shingle."""
@@ -92,15 +92,15 @@ def document_frequencies(docs: DataFrame, words: int = 5) -> tuple[int, np.ndarr
 
         def add():
             for d, at in enumerate(cells(np.concatenate([np.empty(0, U), *wait]), bits)):
-                counts[d] += np.bincount(at, minlength=1 << bits).astype(np.int32)
+                np.add.at(counts[d], at, np.int32(1))
             wait.clear()
 
         held = 0
-        for b in batches:
+        for b in in_parts(batches):
             for text in b.column(0).to_pylist():
                 wait.append(shingle(text)[0])
                 n, held = n + 1, held + len(wait[-1])
-                if held > 1 << 20:
+                if held > 1 << 18:
                     held = 0
                     add()
         add()
@@ -130,8 +130,10 @@ class Weights:
     """Shingle weights by term and document frequency."""
 
     def __init__(self, documents: int, sketch: np.ndarray, words: int = 5):
-        top = np.log(max(documents, 1) / np.maximum(sketch, 1)) / np.log(RARE)
-        self.idf = (1 + DAMP * np.clip(top, 0, 1)).astype(np.float32)
+        self.idf = np.empty(sketch.shape, np.float32)
+        for at in range(0, sketch.shape[1], 1 << 16):  # a range of cells at a time: the table may have millions
+            top = np.log(max(documents, 1) / np.maximum(sketch[:, at : at + (1 << 16)], 1)) / np.log(RARE)
+            self.idf[:, at : at + (1 << 16)] = 1 + DAMP * np.clip(top, 0, 1)
         self.shingle, self.bits = Shingler(words), int(np.log2(sketch.shape[1]))
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +215,7 @@ def signatures(docs: DataFrame, weights, bands: int, rows: int, words: int) -> D
 
     def run(batches):
         of = Weights(*weights.value, words)
-        for b in batches:
+        for b in in_parts(batches):
             wait: list[tuple] = []
 
             def flush():
@@ -258,7 +260,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights, words: int, similarity
                 held[h] = of(text)
             return held[h]
 
-        for t in batches:
+        for t in in_parts(batches):
             a, b, ta, tb = (t.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
             alike = [weighted_jaccard(of(tx), vector(y, ty)) >= similarity for y, tx, ty in zip(b, ta, tb)]
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))

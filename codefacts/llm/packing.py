@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, cut, ship
+from .common import columns, cut, in_parts, ship
 from .wordbpe import LibraryWords, Memo, default_vocabulary
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, window long, offset long, leftover boolean, fill int, ids binary"
 GROUP = 8
+#: Rows, and bytes of their ids, that a task holds before it hands them on.
+MOST_ROWS, MOST_BYTES = 20_000, 4 << 20
 
 
 class OpenWindows:
@@ -80,19 +82,24 @@ def pack_documents(docs: DataFrame, *, vocabulary: str | None = None, size: int
         get, words, end = memo.__getitem__, library.splitter.words, array.array("I", [end_id]).tobytes()
         open_ = OpenWindows(size, open_windows)
         out: list[tuple] = []
+        held = 0
 
         def close(w, leftover):
+            nonlocal held
             rows = open_.rows.pop(w)
+            held += sum(len(r[5] or b"") for r in rows)
             fill = rows[-1][6] + rows[-1][2]
             out.extend((*r[:5], task, w, r[6], leftover, fill, r[5]) for r in rows)
 
         def flush():
+            nonlocal held
+            held = 0
             cols = list(zip(*out)) or [()] * 11
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-        for batch in batches:
+        for batch in in_parts(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = b"".join(map(get, words(text or ""))) + end
                 n = len(ids) // 4
@@ -109,8 +116,8 @@ def pack_documents(docs: DataFrame, *, vocabulary: str | None = None, size: int
                     open_.rows[w].append((*row, offset))
                     for x in closed:
                         close(x, False)
-                if len(out) > 20_000:
-                    yield flush()
+                    if len(out) > MOST_ROWS or held > MOST_BYTES:
+                        yield flush()
         for w in sorted(open_.rows):
             close(w, True)
         yield flush()
